@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import int64s, sliced, table
-from .tokens import ByteLevelEncoder, tokenizer_path
+from .tokens import byte_level_encoder, tokenizer_path
 
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 32 * 1024
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 
 
@@ -98,7 +98,7 @@ def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
     empty table gives no rows; other columns of df are ignored."""
 
     def run(batches):
-        enc, part, seq0, group0 = ByteLevelEncoder(tokenizer), TaskContext.get().partitionId() << 40, 0, 0
+        enc, part, seq0, group0 = byte_level_encoder(tokenizer), TaskContext.get().partitionId() << 40, 0, 0
         for b in sliced(batches, BATCH_BYTES):
             flat, counts = enc.encode(["" if x is None else x for x in b.column(1).to_pylist()])
             counts = counts + 1

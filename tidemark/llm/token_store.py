@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, U64, int64s, mixed, shared_dir, sliced, table
-from .tokens import ByteLevelEncoder, tokenizer_path
+from .tokens import byte_level_encoder, tokenizer_path
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 ROWS_PER_SHARD = 4096
 MOST_SHARDS = 50_000
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, keys binary, payload binary, index binary"
@@ -121,7 +121,7 @@ def write_token_shards(df: DataFrame, path: str, tokenizer: str, doc_id: str = "
     bounds = np.array(shard_bounds(df, doc_id, rows_per_shard), np.int64)
 
     def encode(batches):
-        enc = ByteLevelEncoder(tokenizer)
+        enc = byte_level_encoder(tokenizer)
         kind = "<u2" if len(enc.width) <= 1 << 16 and end_id < 1 << 16 else "<u4"
         for b in sliced(batches, BATCH_BYTES):
             flat, counts = enc.encode(["" if x is None else x for x in b.column(1).to_pylist()])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,10 @@ from .common import ragged
 
 #: Between two non-space characters, a token begins at a single space and never crosses it. Texts where that may not hold go to the library whole.
 _WHOLE = re.compile(r" (?=\s|$)|<\|")
-_CHUNK = 2000
+_WHOLE_ASCII = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", "<|")
+_CHUNK = 200
 #: Pieces remembered from batch to batch; beyond, the memory starts anew.
-KNOWN_PIECES = 1_200_000
+KNOWN_PIECES = 1_500_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,6 +27,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _goes_whole(text: str) -> bool:
+    if text.isascii():
+        return text.endswith(" ") or any(x in text for x in _WHOLE_ASCII)
+    return _WHOLE.search(text) is not None
+
+
+@functools.lru_cache(maxsize=2)
+def byte_level_encoder(path: str) -> ByteLevelEncoder:
+    """One encoder a worker process: what it has learnt serves the tasks that follow."""
+    return ByteLevelEncoder(path)
+
+
 class ByteLevelEncoder:
     """encode() gives what Tokenizer.encode_batch(texts, add_special_tokens=False) gives, as flat arrays."""
 
@@ -39,7 +54,8 @@ class ByteLevelEncoder:
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
 
     def _forget(self) -> None:
-        self.known, self.flat, self.lens = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.known, self.used, self.flat = {}, 0, np.zeros(0, np.uint32)
+        self.lens = self.starts = np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -48,7 +64,7 @@ class ByteLevelEncoder:
         """Flat uint32 ids and the ids' counts by text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
+        whole = [i for i, t in enumerate(texts) if _goes_whole(t)]
         plain = pa.array(texts, pa.large_string())
         if whole:
             keep = np.ones(len(texts), bool)
@@ -62,13 +78,30 @@ class ByteLevelEncoder:
         heads = [uniq[i] for i in codes[begin]]
         for i in whole:
             heads[i] = texts[i]
-        fresh = [p for p in uniq if p not in self.known]
-        if self.known and len(self.known) + len(fresh) > KNOWN_PIECES:
+        at = np.fromiter(map(self.known.get, uniq, repeat(-1)), np.int64, len(uniq))
+        new = np.flatnonzero(at < 0)
+        if self.known and len(self.known) + len(new) > KNOWN_PIECES:
             self._forget()
-            fresh = uniq
-        parts, lens = [self.flat], [self.lens]
-        for at in range(0, len(fresh), _CHUNK):
-            some = fresh[at : at + _CHUNK]
+            new = np.arange(len(uniq))
+        fresh = [uniq[i] for i in new]
+        begin_new = len(self.known)
+        at[new] = begin_new + np.arange(len(new))
+        self.known.update(zip(fresh, range(begin_new, begin_new + len(new)), strict=True))
+        self._learn(fresh)
+        # this batch's pieces side by side, then the first pieces of its texts
+        n = self.lens[at]
+        first = self._ids(heads)
+        flat = np.concatenate([self.flat[ragged(self.starts[at], n)], np.array([i for e in first for i in e], np.uint32)])
+        lens = np.concatenate([n, np.array([len(e) for e in first], np.int64)])
+        starts = np.cumsum(lens) - lens
+        codes[begin] = len(uniq) + np.arange(len(texts))
+        n = lens[codes]
+        return flat[ragged(starts[codes], n)], np.add.reduceat(n, begin)
+
+    def _learn(self, fresh: list[str]) -> None:
+        parts, lens = [], []
+        for i in range(0, len(fresh), _CHUNK):
+            some = fresh[i : i + _CHUNK]
             ids = np.array(self._ids([" " + " ".join(some)])[0], np.uint32)
             ends = np.cumsum(self.width[ids])
             want = np.cumsum([len(p.encode()) + 1 for p in some])
@@ -78,13 +111,15 @@ class ByteLevelEncoder:
                 ids, cut = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each]) - 1
             parts.append(ids)
             lens.append(np.diff(np.concatenate([[0], cut + 1])))
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-        self.flat, self.lens = np.concatenate(parts), np.concatenate(lens)
-        first = self._ids(heads)
-        flat = np.concatenate([self.flat, np.array([i for e in first for i in e], np.uint32)])
-        lens = np.concatenate([self.lens, np.array([len(e) for e in first], np.int64)])
-        starts = np.cumsum(lens) - lens
-        codes = np.fromiter(map(self.known.__getitem__, uniq), np.int64, len(uniq))[codes]
-        codes[begin] = len(self.known) + np.arange(len(texts))
-        out = flat[ragged(starts[codes], lens[codes])]
-        return out, np.add.reduceat(lens[codes], begin)
+        parts, lens = np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([np.zeros(0, np.int64), *lens])
+        need, have = self.used + len(parts), len(self.flat)
+        if need > have:
+            self.flat = np.concatenate([self.flat, np.zeros(max(need - have, have), np.uint32)])
+        self.flat[self.used : need] = parts
+        starts = self.used + np.cumsum(lens) - lens
+        self.used = need
+        n, have = len(self.known), len(self.lens)
+        if n > have:
+            more = np.zeros(max(n - have, have), np.int64)
+            self.lens, self.starts = np.concatenate([self.lens, more]), np.concatenate([self.starts, more])
+        self.lens[n - len(lens) : n], self.starts[n - len(lens) : n] = lens, starts
