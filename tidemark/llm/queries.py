@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query: module of this subpackage that holds it.
 _MODULES = {
     "op1_packing": "packing",
+    "op2_suffix_dedup": "suffix_dedup",
     "op6_token_store": "token_store",
     "op10_bpe": "bpe",
 }
