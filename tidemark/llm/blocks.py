@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, int64s, offsets_and_bytes, sliced, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SCHEMA = "blk long, n_docs long, ids binary, lens binary, data binary"
 
 

@@ -67,29 +67,41 @@ class SuffixSorter:
         self.hash, self.data, self.depth = PrefixHash(data), data, depth
 
     def extension(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the common extension of each pair of suffixes, depth at most; verified on the bytes."""
-        low = np.zeros(len(x), np.int64)
-        high = np.full(len(x), self.depth, np.int64)
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                break
-            mid = (low[open_] + high[open_] + 1) >> 1
-            eq = self.hash.of(x[open_], mid) == self.hash.of(y[open_], mid)
-            low[open_] = np.where(eq, mid, low[open_])
-            high[open_] = np.where(eq, high[open_], mid - 1)
-        wrong = np.flatnonzero(~same_bytes(self.data, x, y, low))
-        for i in wrong.tolist():  # a collision: the bytes decide
-            a, b = self.data[x[i] : x[i] + self.depth], self.data[y[i] : y[i] + self.depth]
-            low[i] = int(np.argmax(a != b))
+        """Length of the common extension of each pair of suffixes, depth at most, by hashes."""
+        low = np.full(len(x), self.depth, np.int64)
+        part = np.flatnonzero(self.hash.of(x, self.depth) != self.hash.of(y, self.depth))
+        if len(part):
+            a, b = x[part], y[part]
+            lo, hi = np.zeros(len(part), np.int64), np.full(len(part), self.depth - 1, np.int64)
+            for _ in range(self.depth.bit_length()):
+                mid = (lo + hi + 1) >> 1
+                eq = self.hash.of(a, mid) == self.hash.of(b, mid)
+                lo, hi = np.where(eq, mid, lo), np.where(eq, hi, np.maximum(mid - 1, lo))
+            low[part] = lo
         return low
 
+    def verified(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """extension(), verified on the bytes: where hashes collide, the bytes decide."""
+        n = self.extension(x, y)
+        for i in np.flatnonzero(~same_bytes(self.data, x, y, n)).tolist():
+            n[i] = int(np.argmax(self.data[x[i] : x[i] + self.depth] != self.data[y[i] : y[i] + self.depth]))
+        short = np.flatnonzero(n < self.depth)
+        for i in short[self.data[x[short] + n[short]] == self.data[y[short] + n[short]]].tolist():
+            differ = self.data[x[i] : x[i] + self.depth] != self.data[y[i] : y[i] + self.depth]
+            n[i] = int(np.argmax(differ)) if differ.any() else self.depth
+        return n
+
     def before(self, x: np.ndarray, y: np.ndarray, ties: bool) -> np.ndarray:
         """Whether suffix x sorts before y; ties: or is equal to it."""
         n = self.extension(x, y)
-        end = n >= self.depth
         at = np.minimum(n, self.depth - 1)
-        return np.where(end, ties, self.data[x + at] < self.data[y + at])
+        mine, theirs = self.data[x + at], self.data[y + at]
+        if (odd := (n < self.depth) & (mine == theirs)).any():  # the next bytes must differ: else hashes collided
+            some = np.flatnonzero(odd)
+            n[some] = self.verified(x[some], y[some])
+            at = np.minimum(n, self.depth - 1)
+            mine, theirs = self.data[x + at], self.data[y + at]
+        return np.where(n >= self.depth, ties, mine < theirs)
 
     def sort(self, group: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """group: ascending numbers; suffixes of a group are ordered among themselves. Gives the order and, for each place
@@ -134,5 +146,5 @@ class SuffixSorter:
             width *= 2
         fresh = np.ones(n, bool)
         inner = np.flatnonzero(group[1:] == group[:-1]) + 1
-        fresh[inner] = self.extension(starts[order[inner - 1]], starts[order[inner]]) < self.depth
+        fresh[inner] = self.verified(starts[order[inner - 1]], starts[order[inner]]) < self.depth
         return order, fresh
