@@ -8,6 +8,7 @@ from importlib import import_module
 _MODULES = {
     "op1_packing": "packing",
     "op2_suffix_dedup": "suffix_dedup",
+    "op3_media": "media",
     "op4_brown_lm": "brown",
     "op6_token_store": "token_store",
     "op10_bpe": "bpe",
