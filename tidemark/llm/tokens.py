@@ -5,20 +5,19 @@ from __future__ import annotations
 import functools
 import os
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-from .common import ragged
+from .common import U64, mixed, offsets_and_bytes, ragged
+from .suffixes import PrefixHash
 
 #: Between two non-space characters, a token begins at a single space and never crosses it. Texts where that may not hold go to the library whole.
 _WHOLE = re.compile(r" (?=\s|$)|<\|")
 _WHOLE_ASCII = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", "<|")
 _CHUNK = 200
 #: Pieces remembered from batch to batch; beyond, the memory starts anew.
-KNOWN_PIECES = 700_000
+KNOWN_PIECES = 3_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -40,7 +39,9 @@ def byte_level_encoder(path: str) -> ByteLevelEncoder:
 
 
 class ByteLevelEncoder:
-    """encode() gives what Tokenizer.encode_batch(texts, add_special_tokens=False) gives, as flat arrays."""
+    """encode() gives what Tokenizer.encode_batch(texts, add_special_tokens=False) gives, as flat arrays.
+
+    Pieces that were met before are known by a 64-bit hash of their bytes and length; their ids lie side by side in one array."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -54,8 +55,9 @@ class ByteLevelEncoder:
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(size)], np.int64)
 
     def _forget(self) -> None:
-        self.known, self.used, self.flat = {}, 0, np.zeros(0, np.uint32)
-        self.lens = self.starts = np.zeros(0, np.int64)
+        self.known = np.zeros(0, U64)  # ascending; starts and lens alike
+        self.starts, self.lens = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.used, self.flat = 0, np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,62 +66,62 @@ class ByteLevelEncoder:
         """Flat uint32 ids and the ids' counts by text."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        whole = [i for i, t in enumerate(texts) if _goes_whole(t)]
-        plain = pa.array(texts, pa.large_string())
-        if whole:
-            keep = np.ones(len(texts), bool)
-            keep[whole] = False
-            plain = pc.if_else(pa.array(keep), plain, "")
-        split = pc.split_pattern(plain, " ")
-        begin = np.asarray(split.offsets)[:-1].astype(np.int64)
-        pieces = split.flatten().dictionary_encode()
-        codes = np.array(pieces.indices, np.int64)
-        uniq = pieces.dictionary.to_pylist()
-        heads = [uniq[i] for i in codes[begin]]
-        for i in whole:
-            heads[i] = texts[i]
-        at = np.fromiter(map(self.known.get, uniq, repeat(-1)), np.int64, len(uniq))
-        new = np.flatnonzero(at < 0)
-        if self.known and len(self.known) + len(new) > KNOWN_PIECES:
+        offs, data = offsets_and_bytes(pa.array(texts, pa.large_string()))
+        heads = [t if _goes_whole(t) else t.split(" ", 1)[0] for t in texts]
+        spaces = np.flatnonzero(data == 32)
+        whole = np.array([len(h) == len(t) for h, t in zip(heads, texts, strict=True)])
+        doc = np.searchsorted(offs, spaces, side="right") - 1
+        spaces, doc = spaces[~whole[doc]], doc[~whole[doc]]
+        # each text: its head, then pieces that begin with their space
+        per = np.bincount(doc, minlength=len(texts))
+        end = np.r_[spaces[1:], len(data)]
+        end = np.minimum(end, offs[doc + 1])
+        n = end - spaces
+        h = mixed(PrefixHash(data).of(spaces, n) ^ n.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        uniq, index, of = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, uniq)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != uniq if len(self.known) else np.ones(len(uniq), bool))
+        if len(self.known) and len(self.known) + len(new) > KNOWN_PIECES:
             self._forget()
             new = np.arange(len(uniq))
-        fresh = [uniq[i] for i in new]
-        begin_new = len(self.known)
-        at[new] = begin_new + np.arange(len(new))
-        self.known.update(zip(fresh, range(begin_new, begin_new + len(new)), strict=True))
-        self._learn(fresh)
-        # this batch's pieces side by side, then the first pieces of its texts
-        n = self.lens[at]
+        raw = memoryview(data)
+        self._learn(uniq[new], [str(raw[a:b], "utf-8") for a, b in zip(spaces[index[new]].tolist(), end[index[new]].tolist(), strict=True)])
+        at = np.searchsorted(self.known, uniq)
+        # this batch's pieces side by side, then the heads of its texts
+        k = self.lens[at].astype(np.int64)
         first = self._ids(heads)
-        flat = np.concatenate([self.flat[ragged(self.starts[at], n)], np.array([i for e in first for i in e], np.uint32)])
-        lens = np.concatenate([n, np.array([len(e) for e in first], np.int64)])
+        flat = np.concatenate([self.flat[ragged(self.starts[at], k)], np.array([i for e in first for i in e], np.uint32)])
+        lens = np.concatenate([k, np.array([len(e) for e in first], np.int64)])
         starts = np.cumsum(lens) - lens
-        codes[begin] = len(uniq) + np.arange(len(texts))
+        begin = np.cumsum(per + 1) - per - 1
+        codes = np.empty(len(spaces) + len(texts), np.int64)
+        inner = np.ones(len(codes), bool)
+        inner[begin] = False
+        codes[inner], codes[begin] = of, len(uniq) + np.arange(len(texts))
         n = lens[codes]
         return flat[ragged(starts[codes], n)], np.add.reduceat(n, begin)
 
-    def _learn(self, fresh: list[str]) -> None:
-        parts, lens = [], []
+    def _learn(self, hashes: np.ndarray, fresh: list[str]) -> None:
+        """fresh: pieces that begin with their space, in the order of their hashes."""
+        parts, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(fresh), _CHUNK):
             some = fresh[i : i + _CHUNK]
-            ids = np.array(self._ids([" " + " ".join(some)])[0], np.uint32)
+            ids = np.array(self._ids(["".join(some)])[0], np.uint32)
             ends = np.cumsum(self.width[ids])
-            want = np.cumsum([len(p.encode()) + 1 for p in some])
+            want = np.cumsum([len(p.encode()) for p in some])
             cut = np.searchsorted(ends, want)
             if len(ends) != cut[-1] + 1 or not np.array_equal(ends[cut], want):  # a token across two pieces: none is known
-                each = self._ids([" " + p for p in some])
+                each = self._ids(some)
                 ids, cut = np.array([i for e in each for i in e], np.uint32), np.cumsum([len(e) for e in each]) - 1
             parts.append(ids)
             lens.append(np.diff(np.concatenate([[0], cut + 1])))
-        parts, lens = np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([np.zeros(0, np.int64), *lens])
+        parts, lens = np.concatenate(parts), np.concatenate(lens)
         need, have = self.used + len(parts), len(self.flat)
         if need > have:
-            self.flat = np.concatenate([self.flat, np.zeros(max(need - have, have), np.uint32)])
+            self.flat = np.concatenate([self.flat, np.zeros(max(need - have, have // 2), np.uint32)])
         self.flat[self.used : need] = parts
-        starts = self.used + np.cumsum(lens) - lens
+        at = np.searchsorted(self.known, hashes)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(lens) - lens)
+        self.lens = np.insert(self.lens, at, lens)
+        self.known = np.insert(self.known, at, hashes)
         self.used = need
-        n, have = len(self.known), len(self.lens)
-        if n > have:
-            more = np.zeros(max(n - have, have), np.int64)
-            self.lens, self.starts = np.concatenate([self.lens, more]), np.concatenate([self.starts, more])
-        self.lens[n - len(lens) : n], self.starts[n - len(lens) : n] = lens, starts
