@@ -10,6 +10,7 @@ _MODULES = {
     "op2_suffix_dedup": "suffix_dedup",
     "op3_media": "media",
     "op4_brown_lm": "brown",
+    "op5_line_dedup": "line_dedup",
     "op6_token_store": "token_store",
     "op10_bpe": "bpe",
 }
