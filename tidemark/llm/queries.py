@@ -12,6 +12,7 @@ _MODULES = {
     "op4_brown_lm": "brown",
     "op5_line_dedup": "line_dedup",
     "op6_token_store": "token_store",
+    "op7_near_dedup": "bottom_k",
     "op9_toxicity": "toxicity",
     "op10_bpe": "bpe",
 }
