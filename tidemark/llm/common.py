@@ -79,3 +79,11 @@ def sliced(batches, size: int):
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def made(df: DataFrame, columns: dict) -> DataFrame:
+    """df with columns that are computed once: a generator of one row, below which the optimizer moves no later step."""
+    from pyspark.sql import functions as F
+
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))))

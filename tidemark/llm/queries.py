@@ -13,6 +13,7 @@ _MODULES = {
     "op5_line_dedup": "line_dedup",
     "op6_token_store": "token_store",
     "op7_near_dedup": "bottom_k",
+    "op8_imatch": "imatch",
     "op9_toxicity": "toxicity",
     "op10_bpe": "bpe",
 }
