@@ -24,7 +24,7 @@ from .tokens import byte_level_encoder, tokenizer_path
 
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 32 * 1024
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, U64, int64s, mixed, shared_dir, sliced, table
 from .tokens import byte_level_encoder, tokenizer_path
 
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 ROWS_PER_SHARD = 4096
 MOST_SHARDS = 50_000
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, keys binary, payload binary, index binary"
