@@ -12,6 +12,7 @@ lengths). Packing needs no exchange: each task packs what it reads, batch by bat
 from __future__ import annotations
 
 import bisect
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from .tokens import byte_level_encoder, tokenizer_path
 TIERS = (128, 256, 512, 1024)
 STEP_TOKENS = 32 * 1024
 BATCH_BYTES = 2 << 20
-SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids binary"
+SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids_crc32 long"
 
 
 def plan_sequences(doc_tokens, window: int = 1024, tiers=TIERS) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -91,12 +92,14 @@ def step_groups(sequences, step_tokens: int = STEP_TOKENS) -> list[int]:
     return groups
 
 
-def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, tiers=TIERS, end_id: int = 0, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row per piece, with its ids (little-endian uint32). A document is its ids, then end_id.
+def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", window: int = 1024, tiers=TIERS, end_id: int = 0, step_tokens: int = STEP_TOKENS, with_ids: bool = True) -> DataFrame:
+    """One row per piece, with a checksum of its ids and, unless with_ids is false, the ids (little-endian uint32). A document is its ids, then end_id.
 
     A null text is empty (one id, the end); a null doc_id stays null; repeated rows are packed as often as they occur; an
     empty table gives no rows; other columns of df are ignored."""
 
+    schema = SCHEMA + (", ids binary" if with_ids else "")
+
     def run(batches):
         enc, part, seq0, group0 = byte_level_encoder(tokenizer), TaskContext.get().partitionId() << 40, 0, 0
         for b in sliced(batches, BATCH_BYTES):
@@ -118,16 +121,17 @@ def pack_documents(df: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
             begin = (ends - counts)[docs] + ats
             raw = memoryview(ids.tobytes())
             own = int64s(b.column(0))[docs]
+            pieces = [raw[4 * s : 4 * (s + n)] for s, n in zip(begin.tolist(), lens.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own, mask=np.asarray(b.column(0).is_null())[docs]), pa.array(ats), pa.array(lens), pa.array(counts[docs]), pa.array(part + seq0 + which), pa.array(offset), pa.array(np.array([t for t, _ in seqs], np.int32)[which]), pa.array(part + group0 + np.array(groups, np.int64)[which]), pa.array([raw[4 * s : 4 * (s + n)] for s, n in zip(begin.tolist(), lens.tolist(), strict=True)], pa.binary())],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
+                [pa.array(own, mask=np.asarray(b.column(0).is_null())[docs]), pa.array(ats), pa.array(lens), pa.array(counts[docs]), pa.array(part + seq0 + which), pa.array(offset), pa.array(np.array([t for t, _ in seqs], np.int32)[which]), pa.array(part + group0 + np.array(groups, np.int64)[which]), pa.array([zlib.crc32(p) for p in pieces], pa.int64()), *([pa.array(pieces, pa.binary())] if with_ids else [])],
+                names=[x.split()[0] for x in schema.split(", ")],
             )
             seq0 += len(seqs)
             group0 += max(groups) + 1
 
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op1_packing(spark, sf_dir: str) -> DataFrame:
-    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+    packed = pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")

@@ -17,7 +17,7 @@ _WHOLE = re.compile(r" (?=\s|$)|<\|")
 _WHOLE_ASCII = ("  ", " \n", " \t", " \r", " \x0b", " \x0c", "<|")
 _CHUNK = 200
 #: Pieces remembered from batch to batch; beyond, the memory starts anew.
-KNOWN_PIECES = 3_000_000
+KNOWN_PIECES = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
