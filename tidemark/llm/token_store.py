@@ -13,6 +13,8 @@ key's first id, and the key's numbers of rows and of ids.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +25,7 @@ from .common import NULL_ID, U64, int64s, mixed, shared_dir, sliced, table
 from .tokens import byte_level_encoder, tokenizer_path
 
 BATCH_BYTES = 2 << 20
-ROWS_PER_SHARD = 4096
+ROWS_PER_SHARD = 1024
 MOST_SHARDS = 50_000
 SHARD_SCHEMA = "shard int, n_docs long, n_ids long, keys binary, payload binary, index binary"
 _GAMMA = 2
@@ -181,8 +183,9 @@ class Shard:
         return tuple(out)
 
 
-def read_token_shards(spark, path: str) -> DataFrame:
-    """One row per document, from the shards: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32). Every key goes through its shard's index."""
+def read_token_shards(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document, from the shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as
+    little-endian uint32) and, unless with_ids is false, these ids. Every key goes through its shard's index."""
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     sizes = sorted((r.shard, r.n_ids) for r in shards.select("shard", "n_ids").collect())  # MOST_SHARDS rows at most
     before, total = {}, 0
@@ -191,16 +194,18 @@ def read_token_shards(spark, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 shard = Shard(row["n_ids"], row["keys"], row["payload"], row["index"])
                 which, begin, n = shard.spans(shard.keys)
                 order = np.argsort(begin, kind="stable")
                 which, begin, n = which[order], begin[order], n[order]
                 raw = memoryview(shard.ids.astype("<u4").tobytes())
                 own = shard.keys[which]
-                yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(before[row["shard"]] + begin), pa.array(n), pa.array([raw[4 * s : 4 * (s + k)] for s, k in zip(begin.tolist(), n.tolist(), strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                ids = [raw[4 * s : 4 * (s + k)] for s, k in zip(begin.tolist(), n.tolist(), strict=True)]
+                crc = pa.array([zlib.crc32(x) for x in ids], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(before[row["shard"]] + begin), pa.array(n), crc, *([pa.array(ids, pa.binary())] if with_ids else [])], names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return shards.select("shard", "n_ids", "keys", "payload", "index").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.select("shard", "n_ids", "keys", "payload", "index").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def lookup_ids(spark, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -233,7 +238,7 @@ def lookup_ids(spark, path: str, keys: DataFrame, key: str = "doc_id") -> DataFr
 
 def op6_token_store(spark, sf_dir: str) -> DataFrame:
     path = write_token_shards(table(spark, sf_dir, "documents"), shared_dir(spark), tokenizer_path("byte_bpe_50k.json"))
-    return read_token_shards(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_shards(spark, path, with_ids=False)
 
 
 __all__ = ["PerfectIndex", "Shard", "lookup_ids", "op6_token_store", "read_token_shards", "shard_bounds", "write_token_shards"]
