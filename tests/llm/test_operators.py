@@ -173,7 +173,23 @@ def test_lines(spark, most):
         assert got[i].n_links == sum(links[x] for x in set(lines)) and got[i].n_lines == len(lines)
 
 
-def test_near_duplicates(docs, texts):
+def grown_group(rng):
+    """Copies of one text with few to many edits, so that many lie on either side of the threshold."""
+    base = words(rng, 80).split(" ")
+    out = {}
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice(["new", "old", "odd"])
+        out[i] = " ".join(w[: rng.randint(60, 80)])
+    return out
+
+
+@pytest.mark.parametrize("group", [False, True])
+def test_near_duplicates(spark, docs, texts, group):
+    if group:
+        texts = grown_group(random.Random(8))
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     sets = {}
     for i, t in texts.items():
         w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
@@ -192,6 +208,8 @@ def test_near_duplicates(docs, texts):
                 root[max(x, y)] = min(x, y)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in bottom_k.near_duplicates(docs).collect()}
     assert got == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+    if group:
+        assert 1 < len({find(i) for i in sets}) < 150
 
 
 def test_fingerprints(docs, texts):

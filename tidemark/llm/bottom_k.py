@@ -6,8 +6,11 @@ rarest values are listed: so many that two classes as similar as asked for share
 whole set; else but for a chance below 1e-10, that of fewer than LEAST_SHARED common values among SKETCH). The sketch of the
 union estimates the similarity and drops hopeless pairs; exact Jaccard on full sets confirms links.
 
-Lists are worked in two rounds, so that no group emits all its pairs: first each class against the head of each of its lists
-(the best one only); what these links join is one component, and the second round pairs only classes of different components.
+Lists are worked in rounds, so that no group emits all its pairs. First each class meets the head of its lists (the best one
+only): the class with the fewest values of its own. What links join is one component. Classes whose lists still hold other
+components stay open: their sketches are deepened to the whole set, on which the number of values that a class has left in its
+order bounds an overlap exactly. Each open class meets the best head of a deep list, and the last round pairs, within deep
+lists, those classes of different components that the bound lets through.
 """
 
 from __future__ import annotations
@@ -117,6 +120,51 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(pairs.join(a, "a").join(b, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long"))
 
 
+def _to_heads(lists: DataFrame) -> DataFrame:
+    """Each class of lists (v, cid, label, own) with one class of another label: the head that most of its lists have. The head
+    of a list is its class with the least own, the number of values that it has to itself."""
+    heads = lists.groupBy("v").agg(F.min(F.struct("own", "cid", "label")).alias("head"))
+    met = lists.join(heads, "v").where("label <> head.label").groupBy(F.col("cid").alias("a"), F.col("head.cid").alias("b")).count()
+    return met.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+
+
+def _deep_lists(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, cid, label, n, own, left) of classes (cid, elements, label): the values by which a class can meet one of another label.
+
+    Values that meet another label are ordered by how few classes have them, after those that don't (own). left counts a
+    class's values from this one on: where it is the first that two classes share, their overlap is no more than either's."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                b = batch.slice(at, 64)
+                each = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+                sizes = np.array([len(x) for x in each], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(x, sizes)) for x in (np.asarray(b.column(0)), np.asarray(b.column(1)), sizes)] + [pa.array(np.concatenate(each))], names=["cid", "label", "n", "v"])
+
+    entries = written(sets.select("cid", "label", "elements").mapInArrow(run, "cid long, label long, n long, v long"))
+    lists = entries.groupBy("v").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v", "df")
+    per = Window.partitionBy("cid")
+    ranked = entries.join(lists, "v").withColumns({"rank": F.row_number().over(per.orderBy("df", "v")), "known": F.count("*").over(per)})
+    left = ranked.select("v", "cid", "label", "n", (F.col("n") - F.col("known")).alias("own"), (F.col("known") - F.col("rank") + 1).alias("left"))
+    return written(left.where(F.lit(100) * F.col("left") >= F.lit(percent) * F.col("n")))
+
+
+def _deep_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different labels within deep lists that can be similar enough. The smaller class of a pair needs a shorter part of its
+    order than the larger one."""
+    x, y = (lists.select("v", F.col("cid").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("label", "n", "left")]) for c in "ab")
+    x = x.where(F.lit(100 + percent) * F.col("left_a") >= F.lit(2 * percent) * F.col("n_a"))
+    fits = F.lit(100 + percent) * F.least("left_a", "left_b") >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))
+    met = x.join(y, "v").where(fits & F.expr("label_a <> label_b AND (n_a < n_b OR (n_a = n_b AND a < b))"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
+    """lists with the components' labels; a class without links is its own."""
+    return lists.drop("label").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id (the least id reachable) and kept (doc_id = component_id).
 
@@ -136,12 +184,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     held = F.least("n", F.lit(SKETCH))
     needed = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * percent / 100)).otherwise(LEAST_SHARED)
     # values that nobody shares are the rarest of all
-    listed = ranked.where((held - F.col("known")) + F.col("rank") <= held - needed + 1).select("v", "cid", "n")
+    own = held - F.col("known")
+    listed = ranked.where(own + F.col("rank") <= held - needed + 1).select("v", "cid", F.col("cid").alias("label"), own.alias("own"))
     listed = written(listed)
     candidates = listed.select("cid").distinct()
-    heads = listed.groupBy("v").agg(F.min("cid").alias("head"))
-    best = listed.join(heads, "v").where("cid <> head").groupBy("cid", "head").count().groupBy("cid").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
-    first = _estimated(best.select(F.col("cid").alias("a"), F.col("head").alias("b")), classes.join(candidates, "cid"))
+    first = _estimated(_to_heads(listed), classes.join(candidates, "cid"))
 
     def elements(batches):
         for b in sliced(batches, 4 << 20):
@@ -155,13 +202,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     full = src.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text").join(reps, "id").select("cid", "text").mapInArrow(elements, "cid long, elements binary")
     sets = written(full.dropDuplicates(["cid"]))
     links = _confirmed(first, sets, percent)
-    label = components(links)
-    by = listed.join(label.withColumnRenamed("node", "cid"), "cid", "left").select("v", "cid", "n", F.coalesce("label", "cid").alias("label"))
-    open_ = by.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
-    by = by.join(open_, "v")
-    x, y = (by.select("v", F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
-    pairs = x.join(y, "v").where("a < b AND la <> lb AND 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
-    more = _confirmed(_estimated(pairs, classes.join(candidates, "cid")), sets, percent)
+    by = _labelled(listed, components(links))
+    unsettled = by.groupBy("v").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("v")
+    still_open = by.join(unsettled, "v").groupBy("cid").agg(F.min("label").alias("label"))
+    lists = _deep_lists(sets.join(still_open, "cid"), percent)
+    some = classes.join(candidates, "cid")
+    links = written(links.unionByName(_confirmed(_estimated(_to_heads(lists), some), sets, percent)))
+    more = _confirmed(_estimated(_deep_pairs(_labelled(lists, components(links)), percent), some), sets, percent)
     label = components(links.unionByName(more))
     reps = classes.select("cid", "cid2", "rep").join(label.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component"))
