@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, made, table
+from .common import NULL_ID, made, table, written
 from .token_store import shard_bounds
 
 LOW, HIGH = 0.01, 0.25
@@ -105,7 +105,8 @@ def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text", low:
     next one; an empty table gives no rows; other columns are ignored."""
     src = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     words = lexicon(src.select("text"), low, high)
-    led = with_next(with_fingerprint(src, "text", "fingerprint", words), ["text", "fingerprint"])
+    # written, since the ranges are made in several passes
+    led = with_next(written(with_fingerprint(src, "text", "fingerprint", words)), ["text", "fingerprint"])
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = made(led, {"n_chars": n.cast("long"), "edited": F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next_text"), F.lit(1), cut))}).drop("text", "next_text")
