@@ -173,6 +173,44 @@ def test_lines(spark, most):
         assert got[i].n_links == sum(links[x] for x in set(lines)) and got[i].n_lines == len(lines)
 
 
+def grown_lines(rng):
+    """(documents, distinct lines' first places, all close pairs): lines of 20 to 400 characters with words replaced, by brute force."""
+    pool = [words(rng, n) for n in (8, 9, 14, 20, 30, 60, 90)]
+    out = []
+    for i in range(30):
+        lines = []
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(pool).split(" ")
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(["", "new", "q"])
+            lines.append(" ".join(w))
+        out.append((i, "\n".join(lines)))
+    first = {}
+    for i, t in out:
+        for p, x in enumerate(t.split("\n")):
+            if x:
+                first.setdefault(x, (i, p))
+    xs = [x for x in first if len(x) >= 20]
+    close = []
+    for k, a in enumerate(xs):
+        for b in xs[k + 1 :]:
+            most = max(1, min(len(a), len(b)) // 10)
+            if abs(len(a) - len(b)) <= most and distance(a, b) <= most:
+                close.append((a, b))
+    return out, first, close
+
+
+def test_lines_by_length(spark):
+    out, first, close = grown_lines(random.Random(11))
+    assert sum(distance(a, b) > 2 for a, b in close) > 20  # more edits than any number fixed for short lines
+    links, late = Counter(x for pair in close for x in pair), {max(pair, key=first.get) for pair in close}
+    got = {r.doc_id: r for r in line_dedup.line_decisions(spark.createDataFrame(out, "doc_id long, text string")).collect()}
+    for i, t in out:
+        lines = t.split("\n")
+        assert got[i].n_links == sum(links[x] for x in set(lines))
+        assert list(got[i].removed) == [p for p, x in enumerate(lines) if x and (first[x] != (i, p) or x in late)]
+
+
 def grown_group(rng):
     """Copies of one text with few to many edits, so that many lie on either side of the threshold."""
     base = words(rng, 80).split(" ")
