@@ -211,6 +211,23 @@ def test_lines_by_length(spark):
         assert list(got[i].removed) == [p for p, x in enumerate(lines) if x and (first[x] != (i, p) or x in late)]
 
 
+def test_line_classes(spark, tmp_path):
+    out, _, close = grown_lines(random.Random(12))
+    out += [(None, out[0][1]), (50, "short"), (51, "short"), (52, "")]
+    held = {i: {x for x in t.split("\n") if len(x) >= 20} for i, t in out}
+    near = {*close, *((b, a) for a, b in close)}
+    low = lambda i: (i is not None, i or 0)
+    label = {i: i for i in held}
+    while True:
+        after = {i: min((label[k] for k in held if k == i or any(x == y or (x, y) in near for x in held[i] for y in held[k])), key=low) for i in held}
+        if after == label:
+            break
+        label = after
+    spark.createDataFrame(out, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in line_dedup.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == label and 1 < len(set(label.values())) < len(label) and got[50] == 50
+
+
 def grown_group(rng):
     """Copies of one text with few to many edits, so that many lie on either side of the threshold."""
     base = words(rng, 80).split(" ")
