@@ -267,6 +267,13 @@ def test_near_duplicates(spark, docs, texts, group):
         assert 1 < len({find(i) for i in sets}) < 150
 
 
+def test_near_duplicates_keep_pairs_that_a_sketch_underrates(spark):
+    common, a, b, more = list(range(26)), list(range(100, 119)), list(range(200, 219)), list(range(300, 319))
+    classes = spark.createDataFrame([(1, 1000, common + a + more), (2, 1000, common + b + more)], "cid long, n long, sketch array<long>")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert bottom_k._estimated(pairs, classes).count() == 1  # 26 of the 64 least of the union agree
+
+
 def test_fingerprints(docs, texts):
     order = sorted(texts, reverse=True)
     got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}

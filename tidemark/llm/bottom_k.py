@@ -27,8 +27,8 @@ from .brown import Words
 from .common import NULL_ID, U64, int64s, mixed, offsets_and_bytes, sliced, table, written
 
 WORDS, SKETCH, LEAST_SHARED, WHOLE = 5, 64, 24, 48
-#: Five standard deviations below a similarity of 0.75 in a union sketch of 64.
-LEAST_ESTIMATE = 0.48
+#: At a similarity of 0.75 fewer than 23 of 64 values of a union sketch agree with a chance below 1e-11.
+LEAST_ESTIMATE = 23 / 64
 
 
 def shingle_sets(ids: np.ndarray, offs: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
