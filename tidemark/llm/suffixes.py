@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import U64, ragged
+from .common import U64, mixed, ragged
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -46,20 +46,42 @@ class PrefixHash:
         return (self.sums[length:] - self.sums[: n if n > 0 else 0]) * self.undo[: max(n, 0)] if n > 0 else np.zeros(0, U64)
 
 
-def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray, rows: int = 1 << 15) -> np.ndarray:
-    """Whether data[a:a+len] equals data[b:b+len], for each row."""
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray, rows: int = 1 << 15, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether data[a:a+len] equals data[b:b+len] (or other[b:b+len]), for each row."""
+    other = data if other is None else other
     out = np.ones(len(a), bool)
     for at in range(0, len(a), rows):
         n = lens[at : at + rows]
         if not n.sum():
             continue
-        x, y = data[ragged(a[at : at + rows], n)], data[ragged(b[at : at + rows], n)]
+        x, y = data[ragged(a[at : at + rows], n)], other[ragged(b[at : at + rows], n)]
         has = np.flatnonzero(n)
         begin = (np.cumsum(n) - n)[has]
         out[at + has] = np.logical_and.reduceat(x == y, begin)
     return out
 
 
+def distinct_slices(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one slice's number for each distinct data[first:first+n], for each slice the place of its own among these). Slices meet by
+    hashes; each is compared with its representative byte by byte, and where hashes collided the bytes decide."""
+    h = mixed(PrefixHash(data).of(first, n) ^ n.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    head = one[of]
+    equal = n == n[head]
+    some = np.flatnonzero(equal & (head != np.arange(len(n))))
+    equal[some] = same_bytes(data, first[some], first[head[some]], n[some])
+    if not equal.all():
+        known, extra = {}, []
+        for i in np.flatnonzero(~equal).tolist():
+            raw = data[first[i] : first[i] + n[i]].tobytes()
+            if raw not in known:
+                known[raw] = len(one) + len(extra)
+                extra.append(i)
+            of[i] = known[raw]
+        one = np.concatenate([one, np.array(extra, one.dtype)])
+    return one, of
+
+
 class SuffixSorter:
     """Orders suffixes by their first depth bytes; every suffix must have that many."""
 
@@ -94,6 +116,9 @@ class SuffixSorter:
     def before(self, x: np.ndarray, y: np.ndarray, ties: bool) -> np.ndarray:
         """Whether suffix x sorts before y; ties: or is equal to it."""
         n = self.extension(x, y)
+        full = np.flatnonzero(n >= self.depth)
+        if len(wrong := full[~same_bytes(self.data, x[full], y[full], n[full])]):
+            n[wrong] = self.verified(x[wrong], y[wrong])
         at = np.minimum(n, self.depth - 1)
         mine, theirs = self.data[x + at], self.data[y + at]
         if (odd := (n < self.depth) & (mine == theirs)).any():  # the next bytes must differ: else hashes collided
