@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: later stages restart from there when executors are lost."""
-    path = shared_dir(df.sparkSession)
+    """df, written as Parquet to the shared folder and read again: later stages restart from there when executors are lost.
+
+    Collecting the driver's garbage lets Spark delete the shuffle files of the finished write at once."""
+    spark, path, schema = df.sparkSession, shared_dir(df.sparkSession), df.schema
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def int64s(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
