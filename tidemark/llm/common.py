@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import gc
 import tempfile
 import uuid
@@ -9,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Stands for a null document id where ids travel as 64-bit integers; it sorts first, as Spark sorts nulls.
 NULL_ID = -(1 << 63)
@@ -19,13 +22,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders made within `scratch()`, which deletes them.
+_SCRATCH: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; where that is unset (tests) below a local temporary folder."""
+    """A new folder below the cluster's spark.checkpoint.dir. Unset, it is set below a local temporary folder where everything
+    runs on this machine (as in tests); on a cluster that would be another folder on each machine, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    if (made_here := _SCRATCH.get()) is not None:
+        made_here.append(path)
+    return path
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Gives the list that shared_dir()'s folders go to meanwhile; the caller deletes them when nothing reads them any more."""
+    token = _SCRATCH.set([])
+    try:
+        yield _SCRATCH.get()
+    finally:
+        _SCRATCH.reset(token)
+
+
+def with_row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
+    """df with a long that no two rows share, and its column's name: the document's id where ids are a key; where some are null or
+    occur more than once, a number in the order of ids (null first), then of the texts' digests."""
+    name = free_name("row_key", df.columns)
+    ids = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"))
+    if not ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL").limit(1).count():
+        return df.withColumn(name, F.col(f"`{doc_id}`").cast("long")), name
+    by = [F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`")), F.monotonically_increasing_id()]
+    dealt = df.withColumn(name, F.struct(*by)).repartitionByRange(name).sortWithinPartitions(name)
+    # partitions are ranges, so numbers that rise within them and from one to the next are in order
+    return written(dealt.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, longer by underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -76,10 +125,10 @@ def offsets_and_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], body
 
 
-def sliced(batches, size: int):
-    """Record batches cut so that column 1 has about size bytes of text at most (a longer single text stays whole)."""
+def sliced(batches, size: int, column: int = 1):
+    """Record batches cut so that a column has about size bytes of text at most (a longer single text stays whole)."""
     for batch in batches:
-        offs, _ = offsets_and_bytes(batch.column(1))
+        offs, _ = offsets_and_bytes(batch.column(column))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
@@ -89,7 +138,5 @@ def sliced(batches, size: int):
 
 def made(df: DataFrame, columns: dict) -> DataFrame:
     """df with columns that are computed once: a generator of one row, below which the optimizer moves no later step."""
-    from pyspark.sql import functions as F
-
     kept = [c for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*[x.alias(c) for c, x in columns.items()]))))

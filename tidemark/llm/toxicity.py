@@ -162,11 +162,12 @@ def score_toxicity(df: DataFrame, model: OrdinalModel, doc_id: str = "doc_id", t
 
 
 def keep_clean(df: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose text isn't toxic."""
+    """The rows of df, all columns, whose text isn't toxic: a null or empty text never is; repeated rows stay or go together; an empty
+    table gives an empty one."""
     at = df.columns.index(text)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 4 << 20, at):
             offs, data = offsets_and_bytes(b.column(at))
             above = model.above(*features(offs, data, model.used), b.num_rows)
             yield b.filter(pa.array(above[:, 0] <= REJECT))
