@@ -48,12 +48,16 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch():
-    """Gives the list that shared_dir()'s folders go to meanwhile; the caller deletes them when nothing reads them any more."""
-    token = _SCRATCH.set([])
+    """Gives the list that shared_dir()'s folders go to meanwhile (and then to that of a scratch() around this one); the caller
+    deletes them when nothing reads them any more."""
+    outer, made_here = _SCRATCH.get(), []
+    token = _SCRATCH.set(made_here)
     try:
-        yield _SCRATCH.get()
+        yield made_here
     finally:
         _SCRATCH.reset(token)
+        if outer is not None:
+            outer.extend(made_here)
 
 
 def with_row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
