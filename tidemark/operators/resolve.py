@@ -37,7 +37,8 @@ def visible(log: DataFrame, chain: list[int], start: int = 0, end: int = 0, colu
         last = rows.groupBy("row_id").agg(F.max_by(F.struct("change_type", *own), "snapshot_id").alias("r"))
         return last.where(F.col("r.change_type") != DELETE).select("row_id", *[F.col(f"r.`{c}`").alias(c) for c in own])
     nearest = Window.partitionBy("row_id").orderBy(F.desc("snapshot_id"))
-    return rows.withColumn("_n", F.row_number().over(nearest)).where((F.col("_n") == 1) & (F.col("change_type") != DELETE)).select("row_id", *own)
+    # no table has a column of this name (types.RESERVED)
+    return rows.withColumn("__nearest", F.row_number().over(nearest)).where((F.col("__nearest") == 1) & (F.col("change_type") != DELETE)).select("row_id", *own)
 
 
 def live_ids(log: DataFrame, chain: list[int]) -> DataFrame:

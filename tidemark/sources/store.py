@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from .. import errors as E
 from ..operators import resolve as R
 from ..types import Column, check_columns, check_strict, known, raise_if, spark_schema
-from .fs import Files
+from .fs import Files, WriterLock
 
-FORMAT, FEATURES = 1, frozenset({"aes-gcm"})
+#: No feature is required of readers yet: a store that names one can't be read here.
+FORMAT, FEATURES = 1, frozenset()
 NO_PARENT, LATEST, MAX_DEPTH = 0, -1, 4096
-#: Hooks by point's name, for tests of crashes: after_data, before_commit, after_commit.
+#: Columns of tables can't have this name (types.RESERVED).
+BATCH = "__batch"
+#: Hooks by point's name, for tests of crashes: before_stage, after_stage, after_data, after_directory, before_commit, after_commit.
 FAULTS: dict = {}
 
 
@@ -35,6 +38,17 @@ def split_address(address: str) -> tuple[str, str]:
     return (ns, name) if dot else ("user", address)
 
 
+#: Below _catalog.
+LOCK = "writer"
+
+
+def _locked(files: Files, path: str) -> WriterLock:
+    lock = WriterLock(files, f"_catalog/{LOCK}")
+    if not lock.acquire():
+        raise E.WriterBusyError(f"another process has {path} open for writing")
+    return lock
+
+
 @dataclass(frozen=True)
 class Snapshot:
     id: int
@@ -44,6 +58,7 @@ class Snapshot:
     tables: dict  # address -> {id, ns, name, columns}
     data: dict  # table id -> {"path", "blocks": [{id, items, min, max, hash}]}
     meta: str | None
+    sink: dict | None = None  # query and batch that this snapshot took from a stream
 
 
 class Catalog:
@@ -82,6 +97,10 @@ class Catalog:
     def meta(self, snapshot: int) -> bytes | None:
         return next((base64.b64decode(m) for s in self.chain(snapshot) if (m := self.snapshots[s].meta) is not None), None)
 
+    def batch(self, query: str) -> int:
+        """The last batch of a streaming query that any snapshot holds, or -1."""
+        return max((s.sink["batch"] for s in self.snapshots.values() if s.sink and s.sink["query"] == query), default=-1)
+
     @property
     def latest(self) -> int:
         return max(self.snapshots, default=0)
@@ -97,9 +116,15 @@ class Store:
             raise E.NotFoundError(path) from None
         if self.header["format"] > FORMAT or set(self.header["required_features"]) - FEATURES:
             raise E.VersionUnsupportedError(str(self.header))
-        self.recovered = self._load()
-        if not read_only and not self.files.create("_catalog/writer", uuid.uuid4().hex):
-            raise E.WriterBusyError("another process has the store open for writing")
+        self.lock = None
+        if not read_only:  # before anything is looked at or cleaned up
+            self.lock = _locked(self.files, path)
+        try:
+            self.recovered = self._load()
+        except BaseException:
+            if self.lock:
+                self.lock.release()
+            raise
 
     @classmethod
     def create(cls, spark, path: str, truncate: bool = False, rows_per_block: int = 100_000, strict: bool = True) -> Store:
@@ -107,8 +132,15 @@ class Store:
         if files.exists("_catalog/header.json"):
             if not truncate:
                 raise E.AlreadyExistsError(path)
-            files.delete()
-        files.create("_catalog/header.json", json.dumps({"format": FORMAT, "required_features": [], "uuid": uuid.uuid4().hex, "created": time.time(), "rows_per_block": rows_per_block, "strict": strict}))
+            lock = _locked(files, path)  # a store that is being written isn't truncated
+            for name in files.names():
+                if name != "_catalog":
+                    files.delete(name)
+            for name in files.names("_catalog"):
+                if not name.startswith(LOCK):
+                    files.delete(f"_catalog/{name}")
+            lock.release()
+        files.publish("_catalog/header.json", json.dumps({"format": FORMAT, "required_features": [], "uuid": uuid.uuid4().hex, "created": time.time(), "rows_per_block": rows_per_block, "strict": strict}))
         return cls(spark, path, False)
 
     @classmethod
@@ -124,12 +156,26 @@ class Store:
 
     def _load(self) -> dict:
         """Committed snapshots; what an interrupted commit left behind is ignored, and deleted by a writer."""
-        found = {}
-        for name in self.files.names("_catalog/commits"):
+        found, torn = {}, 0
+        for name in [n for n in self.files.names("_catalog/commits") if n.endswith(".rebuilt")]:
+            whole = name.removesuffix(".rebuilt")
+            if not self.read_only:
+                if self.files.exists(f"_catalog/commits/{whole}"):
+                    self.files.delete(f"_catalog/commits/{name}")
+                else:
+                    self.files.rename(f"_catalog/commits/{name}", f"_catalog/commits/{whole}")
+        names = self.files.names("_catalog/commits")
+        for name in names:
             try:
                 raw = json.loads(self.files.read(f"_catalog/commits/{name}"))
-                snap = Snapshot(**{k: raw[k] for k in ("id", "type", "parent", "created", "tables", "data", "meta")})
+                # fields that a later version adds are left alone
+                snap = Snapshot(**{k: raw[k] for k in ("id", "type", "parent", "created", "tables", "data", "meta")}, sink=raw.get("sink"))
             except (ValueError, KeyError, TypeError) as e:
+                if name == names[-1]:  # a commit that was cut short: never acknowledged, so it isn't there
+                    torn = 1
+                    if not self.read_only:
+                        self.files.delete(f"_catalog/commits/{name}")
+                    break
                 raise E.CorruptDataError(f"{name}: {e}") from None
             if snap.type == "DELTA" and snap.parent not in found:
                 raise E.CorruptDataError(f"{name}: parent {snap.parent} is missing")
@@ -143,7 +189,7 @@ class Store:
         if not self.read_only:
             for n in stale:
                 self.files.delete(f"log/{n}")
-        return {"snapshots": len(found), "uncommitted": len(stale)}
+        return {"snapshots": len(found), "uncommitted": len(stale), "torn": torn}
 
     def __enter__(self) -> Store:
         return self
@@ -155,8 +201,8 @@ class Store:
         if not self.closed:
             if self.writer:
                 self.writer.rollback()
-            if not self.read_only:
-                self.files.delete("_catalog/writer")
+            if self.lock:
+                self.lock.release()
             self.closed = True
 
     def _view(self) -> Catalog:
@@ -200,6 +246,35 @@ class Store:
             raise E.NotFoundError("a row of the batch")
         return out.drop("found").orderBy("ordinal")
 
+    def read_batch_into(self, snapshot: int, address: str, row_ids: list[int], into: list | None = None) -> list:
+        """read_batch()'s rows, appended to a list that callers may use again and again."""
+        out = into if into is not None else []
+        out.extend(self.read_batch(snapshot, address, row_ids).collect())
+        return out
+
+    def rebuild_directory(self, snapshot: int, address: str) -> list[dict]:
+        """A block directory made anew from the data, for one that is lost or wrong: it replaces that of the commit file."""
+        view = self._view()
+        if self.read_only:
+            raise E.ReadOnlyError(self.path)
+        if self.writer:
+            raise E.WriterBusyError("a transaction is open")
+        table = view.table(snapshot, address)
+        key = str(table["id"])
+        snap = view.get(snapshot)
+        if key not in snap.data:
+            return []
+        blocks = _directory(self._log(view, [snapshot], table), [c["name"] for c in table["columns"]])
+        data = snap.data | {key: snap.data[key] | {"blocks": blocks}}
+        name = f"_catalog/commits/{snapshot:012d}.json"
+        raw = json.loads(self.files.read(name)) | {"data": data}
+        if not self.files.create(f"{name}.rebuilt", json.dumps(raw)):
+            raise E.CommitError(f"{name}.rebuilt exists")
+        self.files.delete(name)
+        self.files.rename(f"{name}.rebuilt", name)
+        self.catalog = Catalog(view.snapshots | {snapshot: Snapshot(**{f: raw[f] for f in ("id", "type", "parent", "created", "tables", "data", "meta")}, sink=raw.get("sink"))})
+        return blocks
+
     def scan_blocks(self, snapshot: int, address: str, low: int, high: int) -> DataFrame:
         view = self._view()
         table = view.table(snapshot, address)
@@ -302,6 +377,7 @@ class Tx:
         self.staged: dict[str, list[tuple[int, str]]] = {}
         self.seal: dict[str, int] = {}
         self.blob: str | None = None
+        self.sink: dict | None = None
 
     def _open(self) -> None:
         if self.state == "committed":
@@ -384,7 +460,9 @@ class Tx:
         first = codes.where("code <> 'ok'").orderBy("ordinal").head()
         if first is None or ordered:
             keep = rows if first is None else rows.where(F.col("item_ordinal") < first.ordinal)
+            FAULTS.get("before_stage", lambda: None)()
             keep.write.parquet(path)
+            FAULTS.get("after_stage", lambda: None)()
             self.staged.setdefault(address, []).append((self.seal.get(address, 0), part))
         if first is not None:
             raise {"already_exists": E.AlreadyExistsError, "not_found": E.NotFoundError}.get(first.code, E.InvalidArgumentError)(f"row {first.row_id}: {first.code}")
@@ -399,22 +477,22 @@ class Tx:
         for address in sorted(self.staged, key=lambda a: self._table(a)["id"]):
             table, out = self._table(address), None
             for batch, part in self.staged[address]:
-                one = store.spark.read.parquet(f"{store.path.rstrip('/')}/{part}").withColumn("_b", F.lit(batch).cast("long"))
+                one = store.spark.read.parquet(f"{store.path.rstrip('/')}/{part}").withColumn(BATCH, F.lit(batch).cast("long"))
                 out = one if out is None else out.unionByName(one)
             n = store.header["rows_per_block"]
             # ranges of row ids as wide as a block of dense ids; batches sealed apart stay apart
-            facts = out.groupBy("_b").agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count("*").alias("n")).orderBy("_b").collect()
+            facts = out.groupBy(BATCH).agg(F.min("row_id").alias("lo"), F.max("row_id").alias("hi"), F.count("*").alias("n")).orderBy(BATCH).collect()
             if not facts:
                 continue
             block, base = F.lit(None).cast("long"), next_block
             for f in facts:
                 blocks = -(-f.n // n)
                 width = -(-(f.hi - f.lo + 1) // blocks)
-                block = F.when(F.col("_b") == f["_b"], F.lit(base) + F.floor((F.col("row_id") - F.lit(f.lo)) / F.lit(width)).cast("long")).otherwise(block)
+                block = F.when(F.col(BATCH) == f[BATCH], F.lit(base) + F.floor((F.col("row_id") - F.lit(f.lo)) / F.lit(width)).cast("long")).otherwise(block)
                 base += blocks
             next_block = base
             final = f"log/{self.key}/{table['id']}/data"
-            out.withColumn("block_id", block).withColumn("snapshot_id", F.lit(self.id).cast("long")).drop("_b").repartitionByRange("block_id", "row_id").sortWithinPartitions("block_id", "row_id").write.parquet(f"{store.path.rstrip('/')}/{final}")
+            out.withColumn("block_id", block).withColumn("snapshot_id", F.lit(self.id).cast("long")).drop(BATCH).repartitionByRange("block_id", "row_id").sortWithinPartitions("block_id", "row_id").write.parquet(f"{store.path.rstrip('/')}/{final}")
             for _, part in self.staged[address]:
                 store.files.delete(part)
             data[str(table["id"])] = {"path": final}
@@ -424,9 +502,13 @@ class Tx:
             if str(table["id"]) in data:
                 log = store.spark.read.parquet(f"{store.path.rstrip('/')}/{data[str(table['id'])]['path']}")
                 data[str(table["id"])]["blocks"] = _directory(log, [c["name"] for c in table["columns"]])
-        snap = {"id": self.id, "type": "FULL" if self.full else "DELTA", "parent": self.parent, "created": time.time(), "tables": self.defined, "data": data, "meta": self.blob}
+        snap = {"id": self.id, "type": "FULL" if self.full else "DELTA", "parent": self.parent, "created": time.time(), "tables": self.defined, "data": data, "meta": self.blob, "sink": self.sink}
+        FAULTS.get("after_directory", lambda: None)()
         FAULTS.get("before_commit", lambda: None)()
-        if not store.files.create(f"_catalog/commits/{self.id:012d}.json", json.dumps(snap)):
+        if not store.lock.held():
+            store.must_reopen, store.writer, self.state = True, None, "lost"
+            raise E.WriterBusyError("the writer's lease was taken over")
+        if not store.files.publish(f"_catalog/commits/{self.id:012d}.json", json.dumps(snap)):
             raise E.CommitError(f"snapshot {self.id} exists")
         try:
             FAULTS.get("after_commit", lambda: None)()

@@ -1,25 +1,24 @@
-"""A micro-batch sink: each batch becomes one DELTA snapshot, once."""
+"""A micro-batch sink: each batch becomes one DELTA snapshot, once. And the change log as a stream."""
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import DataFrame
 
 from ..sources.store import LATEST, Store
+from ..types import Column, spark_schema
 
 
 def delta_sink(store: Store, address: str, query: str):
-    """For foreachBatch: rows are changes as Tx.apply takes them. The batch's number lies in the snapshot's blob, so a batch
-    that is sent again is known."""
+    """For foreachBatch: rows are changes as Tx.apply takes them. The query and its batch's number lie in a field of the commit,
+    apart from users' blobs, so a batch that is sent again is known whatever other commits came between."""
 
-    def write(batch, number: int) -> None:
-        last = store.meta(store.catalog.latest)
-        seen = json.loads(last) if last else {}
-        if seen.get(query, -1) >= number:
+    def write(batch: DataFrame, number: int) -> None:
+        if store.catalog.batch(query) >= number:
             return
         tx = store.begin(LATEST)
         try:
             tx.apply(address, batch)
-            tx.set_meta(json.dumps(seen | {query: number}).encode())
+            tx.sink = {"query": query, "batch": number}
             tx.commit()
         except Exception:
             if tx.state == "open":
@@ -27,3 +26,13 @@ def delta_sink(store: Store, address: str, query: str):
             raise
 
     return write
+
+
+def change_stream(store: Store, address: str, snapshot: int = LATEST) -> DataFrame:
+    """The changes of one table, as a stream that goes on with each commit: row_id, change_type, the table's columns, block_id,
+    item_ordinal and snapshot_id. Only whole data files count, which a commit's folder gets by rename; a commit that is never
+    made leaves none once a writer opens the store again."""
+    view = store.catalog
+    table = view.table(view.latest if snapshot == LATEST else snapshot, address)
+    schema = spark_schema([Column(**c) for c in table["columns"]]).add("row_id", "long").add("change_type", "integer").add("block_id", "long").add("item_ordinal", "long").add("snapshot_id", "long")
+    return store.spark.readStream.schema(schema).parquet(f"{store.path.rstrip('/')}/log/*/{table['id']}/data")

@@ -50,10 +50,16 @@ def known(type_: str) -> bool:
     return type_ == "decimal" or type_ in SPARK
 
 
+#: Names of the log's own columns.
+RESERVED = frozenset({"row_id", "change_type", "block_id", "snapshot_id", "item_ordinal", "schema_version", "ordinal", "__batch", "__nearest"})
+
+
 def check_columns(columns: list[Column]) -> None:
     names = [c.name for c in columns]
     if not columns or len(columns) > MAX_COLUMNS or not all(names) or len(set(names)) < len(names):
         raise InvalidArgumentError("columns need unique, non-empty names, and at most 16384 of them")
+    if taken := {n.lower() for n in names} & RESERVED:
+        raise InvalidArgumentError(f"reserved names: {sorted(taken)}")
     for c in columns:
         if not known(c.type):
             raise InvalidArgumentError(f"unknown type {c.type!r}")
