@@ -41,6 +41,19 @@ def visible(log: DataFrame, chain: list[int], start: int = 0, end: int = 0, colu
     return rows.withColumn("__nearest", F.row_number().over(nearest)).where((F.col("__nearest") == 1) & (F.col("change_type") != DELETE)).select("row_id", *own)
 
 
+def overlaid(full: DataFrame, changes: DataFrame, small: bool, start: int = 0, end: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """visible() of a FULL layer and the changes above it, for which the FULL layer need not be shuffled: its rows that no change
+    touches, and the changes' own nearest records. small: the changes' ids are few enough to send to every task, which the
+    caller knows from the block directory."""
+    own = columns if columns is not None else [c for c in full.columns if c != "row_id" and c not in BOOKKEEPING]
+    over = in_range(changes, start, end)
+    ids = over.select("row_id").distinct()
+    kept = in_range(full, start, end).where(F.col("change_type") != DELETE).join(F.broadcast(ids) if small else ids, "row_id", "left_anti")
+    nearest = Window.partitionBy("row_id").orderBy(F.desc("snapshot_id"))
+    top = over.withColumn("__nearest", F.row_number().over(nearest)).where((F.col("__nearest") == 1) & (F.col("change_type") != DELETE))
+    return kept.select("row_id", *own).unionByName(top.select("row_id", *own))
+
+
 def live_ids(log: DataFrame, chain: list[int]) -> DataFrame:
     """row_id of visible rows, without reading any other column: one partial aggregate of packed longs."""
     packed = F.max(F.col("snapshot_id") * 4 + F.col("change_type")).alias("last")

@@ -1,76 +1,112 @@
-"""A version chain derived from the orders table, and the queries over it with their SQL.
+"""A version chain over the orders table, persisted as a store, and the queries over it with their SQL.
 
 Snapshots: 1 FULL, 2 DELTA on 1, 3 DELTA on 2, 4 FULL (checkpoint of 3), 5 DELTA on 1 (a branch), 6 empty DELTA on 3.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import resolve as R
+from ..sources.store import Store
+from ..types import Column
 
 COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+#: For the oracles' SQL.
 SNAPSHOTS = [(1, "FULL", 0), (2, "DELTA", 1), (3, "DELTA", 2), (4, "FULL", 0), (5, "DELTA", 1), (6, "DELTA", 3)]
-PARENT = {s: p for s, _, p in SNAPSHOTS}
 BLOCK_ROWS = 1000
 #: Opaque blobs that snapshots 1 and 3 carry.
 META = {1: "base", 3: "patch-3"}
-
-
-def chain(snapshot: int) -> list[int]:
-    out = [snapshot]
-    while PARENT[out[-1]]:
-        out.append(PARENT[out[-1]])
-    return out
+ORDERS = [Column("o_custkey", "int64"), Column("o_orderstatus", "string"), Column("o_totalprice", "float64"), Column("o_orderdate", "datetime")]
+CUSTOMER = [Column("c_name", "string"), Column("c_acctbal", "float64")]
+_STORES: dict[tuple[str, str], Store] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change log of orders: one scan, each order giving a record for each snapshot that changes it."""
+def build(spark: SparkSession, sf_dir: str, path: str, rows_per_block: int = BLOCK_ROWS) -> Store:
+    """A new store at path with the chain of the orders in sf_dir."""
     k, price = F.col("o_orderkey"), F.col("o_totalprice")
-
-    def rec(snapshot: int, change: int, when, value=None):
-        gone = change == R.DELETE
-        own = [F.lit(None).cast("double" if c == "o_totalprice" else "timestamp" if c == "o_orderdate" else "string" if c == "o_orderstatus" else "long") if gone else (value if c == "o_totalprice" and value is not None else F.col(c)) for c in COLUMNS]
-        return F.when(when, F.struct(F.lit(snapshot).cast("long").alias("snapshot_id"), F.lit(change).alias("change_type"), *[o.alias(c) for o, c in zip(own, COLUMNS, strict=True)]))
-
-    visible3 = ~(k % 10).isin(1, 3)
-    price3 = F.when(k % 20 == 0, price + 200).when(k % 10 == 0, price + 100).otherwise(price)
-    records = F.array(
-        rec(1, R.INSERT, k % 10 != 2),
-        rec(2, R.UPDATE, k % 10 == 0, price + 100), rec(2, R.DELETE, k % 10 == 1), rec(2, R.INSERT, k % 10 == 2),
-        rec(3, R.UPDATE, k % 20 == 0, price + 200), rec(3, R.DELETE, k % 10 == 3),
-        rec(4, R.INSERT, visible3, price3),
-        rec(5, R.DELETE, (k % 7 == 0) & (k % 10 != 2)),
-    )
     orders = table(spark, sf_dir, "orders")
-    return orders.select((k + 1).alias("row_id"), F.explode(F.array_compact(records)).alias("r")).select("row_id", "r.*")
-
 
-def with_blocks(changes: DataFrame) -> DataFrame:
-    """Blocks of BLOCK_ROWS consecutive row ids, as batches sealed in that order give."""
-    return changes.withColumn("block_id", F.floor((F.col("row_id") - 1) / BLOCK_ROWS).cast("long"))
+    def rows(when, value=price) -> DataFrame:
+        at = F.struct(F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit(0).cast("short").alias("ns")).alias("o_orderdate")
+        return orders.where(when).select((k + 1).cast("long").alias("row_id"), F.col("o_custkey").cast("long").alias("o_custkey"), F.col("o_orderstatus"), value.cast("double").alias("o_totalprice"), at)
+
+    store = Store.create(spark, path, rows_per_block=rows_per_block)
+    tx = store.begin()
+    tx.define_table("orders", ORDERS)
+    tx.insert("orders", rows(k % 10 != 2))
+    tx.set_meta(META[1].encode())
+    base = tx.commit()
+    tx = store.begin(base)
+    tx.define_table("customer", CUSTOMER, "crm")
+    tx.update("orders", rows(k % 10 == 0, price + 100))
+    tx.delete("orders", rows(k % 10 == 1).select("row_id"))
+    tx.insert("orders", rows(k % 10 == 2))
+    second = tx.commit()
+    tx = store.begin(second)
+    tx.update("orders", rows(k % 20 == 0, price + 200))
+    tx.delete("orders", rows(k % 10 == 3).select("row_id"))
+    tx.set_meta(META[3].encode())
+    third = tx.commit()
+    store.checkpoint(third)
+    tx = store.begin(base)
+    tx.delete("orders", rows((k % 7 == 0) & (k % 10 != 2)).select("row_id"))
+    tx.commit()
+    store.begin(third).commit()
+    store.close()
+    return Store.open(spark, path, read_only=True)
+
+
+def store(spark: SparkSession, sf_dir: str) -> Store:
+    """The store of sf_dir's chain: built below spark.checkpoint.dir (unset: a local temporary folder, as in tests) when a session
+    first asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.gettempdir()}/tidemark-stores"
+        _STORES[key] = build(spark, sf_dir, f"{root.rstrip('/')}/chain-{uuid.uuid4().hex}")
+    return _STORES[key]
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """The date as a plain timestamp, its nanoseconds being 0."""
+    return df.withColumn("o_orderdate", F.col("o_orderdate.ts")) if "o_orderdate" in df.columns else df
+
+
+def log(spark: SparkSession, sf_dir: str, snapshots: list[int] | None = None) -> DataFrame:
+    """The change log of orders in the store."""
+    s = store(spark, sf_dir)
+    view = s.catalog
+    return _plain(s._log(view, snapshots or sorted(view.snapshots), view.table(1, "orders")))
+
+
+def chain(spark, sf_dir, snapshot: int) -> list[int]:
+    return store(spark, sf_dir).catalog.chain(snapshot)
 
 
 def scan(spark, sf_dir, snapshot: int, **more) -> DataFrame:
-    return R.visible(log(spark, sf_dir), chain(snapshot), **more)
+    return _plain(store(spark, sf_dir).scan(snapshot, "orders", **more))
 
 
-def catalog(spark: SparkSession) -> DataFrame:
-    rows = [(s, t, p, len(chain(s)), META.get(s)) for s, t, p in SNAPSHOTS]
-    return spark.createDataFrame(rows, "snapshot_id long, type string, parent long, depth long, meta string")
+def q_tables(snapshot: int, ns: str | None = None):
+    def run(spark, d):
+        s = store(spark, d)
+        known = s.catalog.tables(snapshot)
+        rows = [(t["id"], t["ns"], t["name"], a) for a, t in ((a, known[a]) for a in s.tables(snapshot, ns))]
+        return spark.createDataFrame(rows, "table_id long, ns string, name string, address string")
 
-
-TABLES = [(1, "user", "orders", 1, COLUMNS), (2, "crm", "customer", 2, ["c_name", "c_acctbal"])]
-
-
-def tables_at(spark, snapshot: int, ns: str | None = None) -> DataFrame:
-    rows = [(t, n, name, name if n == "user" else f"{n}.{name}") for t, n, name, since, _ in TABLES if since in chain(snapshot) and ns in (None, n)]
-    return spark.createDataFrame(rows, "table_id long, ns string, name string, address string")
+    return run
 
 
 def q_scan(snapshot: int):
@@ -90,7 +126,7 @@ def _asked(spark):
 
 
 def q_exists(spark, d):
-    live = R.live_ids(log(spark, d), chain(3)).withColumn("live", F.lit(True))
+    live = R.live_ids(log(spark, d, c := chain(spark, d, 3)), c).withColumn("live", F.lit(True))
     return _asked(spark).join(live, "row_id", "left").select("ordinal", "row_id", F.coalesce("live", F.lit(False)).alias("found"))
 
 
@@ -99,43 +135,49 @@ def q_batch(spark, d):
 
 
 def q_blocks(spark, d):
-    return R.block_directory(with_blocks(log(spark, d)), 2)
+    """The directory that the commit holds, not one made from the data."""
+    rows = [(b["id"], b["items"], b["min"], b["max"]) for b in store(spark, d).blocks(2, "orders")]
+    return spark.createDataFrame(rows, "block_id long, items long, min_row_id long, max_row_id long")
 
 
 def q_scan_blocks(spark, d):
-    changes = with_blocks(log(spark, d))
-    return R.own_changes(changes, 2, 0, 2).select("block_id", "row_id", "change_type", "o_totalprice")
+    return store(spark, d).scan_blocks(2, "orders", 0, 2).select("block_id", "row_id", "change_type", "o_totalprice")
+
+
+def _ancestors(spark, d, of=None) -> DataFrame:
+    """(target, snapshot_id): each snapshot with those of its chain, a row for each layer of each chain."""
+    s = store(spark, d)
+    rows = [(t, a) for t in sorted(s.catalog.snapshots) for a in s.catalog.chain(t) if of is None or t in of]
+    return spark.createDataFrame(rows, "target long, snapshot_id long")
 
 
 def q_count(spark, d):
-    out = None
-    records = log(spark, d)
-    for s, *_ in SNAPSHOTS:
-        one = R.live_ids(records, chain(s)).agg(F.lit(s).cast("long").alias("snapshot_id"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One scan of the log for all snapshots."""
+    last = log(spark, d).select("row_id", "change_type", "snapshot_id").join(F.broadcast(_ancestors(spark, d)), "snapshot_id").groupBy("target", "row_id").agg(F.max(F.col("snapshot_id") * 4 + F.col("change_type")).alias("last"))
+    return last.where(F.col("last") % 4 != R.DELETE).groupBy(F.col("target").alias("snapshot_id")).agg(F.count("*").alias("n"))
 
 
 def q_chain(spark, d):
-    return spark.createDataFrame([(6, i, s) for i, s in enumerate(chain(6))], "snapshot_id long, step long, ancestor long")
+    return spark.createDataFrame([(6, i, s) for i, s in enumerate(chain(spark, d, 6))], "snapshot_id long, step long, ancestor long")
 
 
 def q_snapshots(spark, d):
-    counts = log(spark, d).groupBy("snapshot_id").agg(F.count("*").alias("changes"))
-    return catalog(spark).join(counts, "snapshot_id", "left").select("snapshot_id", "type", "parent", "depth", F.coalesce("changes", F.lit(0)).alias("changes"))
+    s = store(spark, d)
+    rows = [(x.id, x.type, x.parent, len(s.catalog.chain(x.id)), sum(b["items"] for t in x.data.values() for b in t["blocks"])) for x in s.list_snapshots()]
+    return spark.createDataFrame(rows, "snapshot_id long, type string, parent long, depth long, changes long")
 
 
 def q_latest(spark, d):
-    return catalog(spark).agg(F.max("snapshot_id").alias("latest"))
+    return spark.createDataFrame([(store(spark, d).catalog.latest,)], "latest long")
 
 
 def q_schema(spark, d):
-    kinds = dict(table(spark, d, "orders").dtypes)
-    return spark.createDataFrame([(i + 1, c, kinds[c]) for i, c in enumerate(COLUMNS)], "column_id long, name string, type string")
+    return spark.createDataFrame([(i + 1, c.name, c.type) for i, c in enumerate(store(spark, d).schema(3, "orders"))], "column_id long, name string, type string")
 
 
 def q_meta(spark, d):
-    rows = [(s, next((META[x] for x in chain(s) if x in META), None)) for s, *_ in SNAPSHOTS]
+    s = store(spark, d)
+    rows = [(x, None if (m := s.meta(x)) is None else m.decode()) for x in sorted(s.catalog.snapshots)]
     return spark.createDataFrame(rows, "snapshot_id long, meta string")
 
 
@@ -146,7 +188,7 @@ def q_changes(spark, d):
 def q_rejects(spark, d):
     """A crafted batch on snapshot 3: every rule is broken once."""
     rows = [(0, 0, 1), (1, 1, 1), (2, 2, 2), (3, 2, 1), (4, 2, 1), (5, 5, 3), (6, 5, 1), (7, 4, 3), (8, 10**9, 1)]
-    return R.reject_codes(spark.createDataFrame(rows, "ordinal long, row_id long, change_type int"), R.live_ids(log(spark, d), chain(3)))
+    return R.reject_codes(spark.createDataFrame(rows, "ordinal long, row_id long, change_type int"), R.live_ids(log(spark, d, c := chain(spark, d, 3)), c))
 
 
 def q_checkpoint(spark, d):
@@ -155,26 +197,26 @@ def q_checkpoint(spark, d):
 
 
 def q_verify(spark, d):
-    """Per snapshot: records, repeated rows, and rows that break a rule against their parent's state."""
-    records, out = log(spark, d), None
-    for s, kind, parent in SNAPSHOTS:
-        own = records.where(F.col("snapshot_id") == s)
-        repeated = own.groupBy("row_id").count().where("count > 1").agg(F.count("*").alias("repeated"))
-        broken = F.lit(0).cast("long")
-        if parent:
-            live = R.live_ids(records, chain(parent)).withColumn("live", F.lit(1))
-            odd = own.join(live, "row_id", "left").where(((F.col("change_type") == 1) & F.col("live").isNotNull()) | ((F.col("change_type") != 1) & F.col("live").isNull()))
-            one = own.agg(F.count("*").alias("records")).crossJoin(repeated).crossJoin(odd.agg(F.count("*").alias("broken")))
-        else:
-            one = own.agg(F.count("*").alias("records")).crossJoin(repeated).withColumn("broken", broken)
-        one = one.select(F.lit(s).cast("long").alias("snapshot_id"), "records", "repeated", "broken")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """After a full verification of the store: per snapshot records, repeated rows, and rows that break a rule against their
+    parent's state. One scan; the parents' states come from the log by one aggregate."""
+    s = store(spark, d)
+    s.verify(full=True)
+    parents = [(x.id, x.parent) for x in s.list_snapshots()]
+    own = log(spark, d).select("snapshot_id", "row_id", "change_type")
+    per = own.groupBy("snapshot_id", "row_id").agg(F.count("*").alias("n"), F.max("change_type").alias("change"))
+    states = own.join(F.broadcast(_ancestors(spark, d, {p for _, p in parents if p})), "snapshot_id").groupBy("target", "row_id").agg(F.max(F.col("snapshot_id") * 4 + F.col("change_type")).alias("last"))
+    live = states.where(F.col("last") % 4 != R.DELETE).select(F.col("target").alias("parent"), "row_id", F.lit(True).alias("live"))
+    ids = F.broadcast(spark.createDataFrame(parents, "snapshot_id long, parent long"))
+    checked = per.join(ids, "snapshot_id").join(live, ["parent", "row_id"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    broken = (F.col("parent") != 0) & ((F.col("change") == R.INSERT) == F.col("live"))
+    facts = checked.groupBy("snapshot_id").agg(F.sum("n").alias("records"), F.sum(F.col("n") - 1).alias("repeated"), F.sum(broken.cast("long")).alias("broken"))
+    none = F.lit(0).cast("long")
+    return ids.select("snapshot_id").join(facts, "snapshot_id", "left").select("snapshot_id", *[F.coalesce(c, none).alias(c) for c in ("records", "repeated", "broken")])
 
 
 def q_stats(spark, d):
-    n = R.live_ids(log(spark, d), chain(6)).agg(F.count("*").alias("visible_rows"))
-    return n.select(F.lit(len(SNAPSHOTS)).cast("long").alias("snapshots"), F.lit(len(TABLES)).cast("long").alias("tables"), "visible_rows")
+    x = store(spark, d).stats()
+    return spark.createDataFrame([(x["snapshots"], x["tables"], x["blocks"], x["changes"], x["visible_rows"])], "snapshots long, tables long, blocks long, changes long, visible_rows long")
 
 
 def q_revenue(spark, d):
@@ -214,7 +256,7 @@ QUERIES = {
     "scan_full": q_scan(1), "scan_delta": q_scan(3), "scan_branch": q_scan(5), "scan_checkpoint": q_scan(4), "scan_empty_delta": q_scan(6),
     "scan_max_by": lambda s, d: scan(s, d, 3, strategy="max_by"), "scan_range": q_range, "get_row": q_get, "exists_rows": q_exists, "read_batch_dups": q_batch, "scan_blocks": q_scan_blocks,
     "blocks_directory": q_blocks, "logical_row_count": q_count, "snapshot_chain": q_chain, "list_snapshots": q_snapshots, "latest_snapshot": q_latest,
-    "tables_at": lambda s, d: tables_at(s, 3), "tables_in_ns": lambda s, d: tables_at(s, 3, "crm"), "schema_at": q_schema, "meta_inherited": q_meta, "change_counts": q_changes,
+    "tables_at": q_tables(3), "tables_in_ns": q_tables(3, "crm"), "schema_at": q_schema, "meta_inherited": q_meta, "change_counts": q_changes,
     "reject_codes": q_rejects, "checkpoint_equals_scan": q_checkpoint, "verify_report": q_verify, "stats": q_stats, "agg_by_status_as_of": q_revenue,
     "join_customer_as_of": q_join, "topk_as_of": q_topk, "window_rank_as_of": q_window, "snapshot_diff": q_diff, "key_range": q_key_range, "predicate_above_resolution": q_predicate,
 }
@@ -242,6 +284,8 @@ chains(snapshot_id, step, ancestor) AS (SELECT snapshot_id, 0, snapshot_id FROM
 vis AS (SELECT snapshot_id, row_id, {_OWN} FROM (SELECT c.snapshot_id, l.row_id, l.change_type, {', '.join('l.' + c for c in COLUMNS)},
   row_number() OVER (PARTITION BY c.snapshot_id, l.row_id ORDER BY c.step) AS n FROM chains c JOIN log l ON l.snapshot_id = c.ancestor) WHERE n = 1 AND change_type <> 3),
 v3 AS (SELECT l.* FROM log l WHERE l.snapshot_id IN (1, 2, 3) AND l.change_type <> 3 AND NOT EXISTS (SELECT 1 FROM log n WHERE n.snapshot_id IN (1, 2, 3) AND n.snapshot_id > l.snapshot_id AND n.row_id = l.row_id)),
+blocked AS (SELECT *, ((row_id - min(row_id) OVER ()) // (ceil((max(row_id) OVER () - min(row_id) OVER () + 1) / ceil(count(*) OVER () / {BLOCK_ROWS}.0))::BIGINT))::BIGINT AS block_id FROM log WHERE snapshot_id = 2),
+made(snapshot_id, n) AS (SELECT snapshot_id, count(*) FROM log GROUP BY 1),
 asked(ordinal, row_id) AS (VALUES {', '.join(f'({i}, {r})' for i, r in enumerate([7, 3, 7, 2, 1, 12, 4, 900, 7]))})
 """
 
@@ -254,7 +298,8 @@ def _pairs(rows) -> str:
     return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
-_TABLES = [(t, n, name, name if n == "user" else f"{n}.{name}") for t, n, name, *_ in TABLES]
+#: Tables as the chain defines them: id, namespace, name, address.
+_TABLES = [(1, "user", "orders", "orders"), (2, "crm", "customer", "crm.customer")]
 ORACLES = {
     "scan_full": _visible(1), "scan_branch": _visible(5), "scan_checkpoint": _visible(4), "scan_empty_delta": _visible(6), "scan_max_by": _visible(3),
     "scan_delta": f"{_LOG} SELECT row_id, {_OWN} FROM v3",
@@ -262,21 +307,21 @@ ORACLES = {
     "get_row": f"{_LOG} SELECT row_id, {_OWN} FROM v3 WHERE row_id = 101",
     "exists_rows": f"{_LOG} SELECT a.ordinal::BIGINT AS ordinal, a.row_id::BIGINT AS row_id, v.row_id IS NOT NULL AS found FROM asked a LEFT JOIN v3 v USING (row_id)",
     "read_batch_dups": f"{_LOG} SELECT a.ordinal::BIGINT AS ordinal, a.row_id::BIGINT AS row_id, v.row_id IS NOT NULL AS found, v.o_custkey, v.o_totalprice FROM asked a LEFT JOIN v3 v USING (row_id)",
-    "scan_blocks": f"{_LOG} SELECT ((row_id - 1) // {BLOCK_ROWS})::BIGINT AS block_id, row_id, change_type, o_totalprice FROM log WHERE snapshot_id = 2 AND (row_id - 1) // {BLOCK_ROWS} < 2",
-    "blocks_directory": f"{_LOG} SELECT ((row_id - 1) // {BLOCK_ROWS})::BIGINT AS block_id, count(*) AS items, min(row_id) AS min_row_id, max(row_id) + 1 AS max_row_id FROM log WHERE snapshot_id = 2 GROUP BY 1",
+    "scan_blocks": f"{_LOG} SELECT block_id, row_id, change_type, o_totalprice FROM blocked WHERE block_id < 2",
+    "blocks_directory": f"{_LOG} SELECT block_id, count(*) AS items, min(row_id) AS min_row_id, max(row_id) + 1 AS max_row_id FROM blocked GROUP BY 1",
     "logical_row_count": f"{_LOG} SELECT snapshot_id::BIGINT AS snapshot_id, count(*) AS n FROM vis GROUP BY 1",
     "snapshot_chain": f"{_LOG} SELECT snapshot_id::BIGINT AS snapshot_id, step::BIGINT AS step, ancestor::BIGINT AS ancestor FROM chains WHERE snapshot_id = 6",
     "list_snapshots": f"{_LOG} SELECT s.snapshot_id::BIGINT AS snapshot_id, s.type, s.parent::BIGINT AS parent, (SELECT count(*) FROM chains c WHERE c.snapshot_id = s.snapshot_id) AS depth, (SELECT count(*) FROM log l WHERE l.snapshot_id = s.snapshot_id) AS changes FROM snaps s",
     "latest_snapshot": f"{_LOG} SELECT max(snapshot_id)::BIGINT AS latest FROM snaps",
     "tables_at": f"SELECT column0::BIGINT AS table_id, column1 AS ns, column2 AS name, column3 AS address FROM (VALUES {_pairs(_TABLES)}) t(column0, column1, column2, column3)",
     "tables_in_ns": f"SELECT column0::BIGINT AS table_id, column1 AS ns, column2 AS name, column3 AS address FROM (VALUES {_pairs(_TABLES)}) t(column0, column1, column2, column3) WHERE column1 = 'crm'",
-    "schema_at": "SELECT row_number() OVER (ORDER BY CASE column_name WHEN 'o_custkey' THEN 1 WHEN 'o_orderstatus' THEN 2 WHEN 'o_totalprice' THEN 3 ELSE 4 END)::BIGINT AS column_id, column_name AS name, CASE WHEN column_type LIKE 'TIMESTAMP%' THEN (CASE WHEN column_type LIKE '%TIME ZONE%' THEN 'timestamp' ELSE 'timestamp_ntz' END) WHEN column_type = 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS type FROM (DESCRIBE orders) WHERE column_name IN ('o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate')",
+    "schema_at": "SELECT row_number() OVER (ORDER BY CASE column_name WHEN 'o_custkey' THEN 1 WHEN 'o_orderstatus' THEN 2 WHEN 'o_totalprice' THEN 3 ELSE 4 END)::BIGINT AS column_id, column_name AS name, CASE WHEN column_type LIKE 'TIMESTAMP%' OR column_type = 'DATE' THEN 'datetime' WHEN column_type = 'VARCHAR' THEN 'string' WHEN column_type = 'DOUBLE' THEN 'float64' WHEN column_type = 'BIGINT' THEN 'int64' END AS type FROM (DESCRIBE orders) WHERE column_name IN ('o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate')",
     "meta_inherited": f"{_LOG}, blobs(snapshot_id, meta) AS (VALUES {_pairs(META.items())}) SELECT s.snapshot_id::BIGINT AS snapshot_id, (SELECT b.meta FROM chains c JOIN blobs b ON b.snapshot_id = c.ancestor WHERE c.snapshot_id = s.snapshot_id ORDER BY c.step LIMIT 1) AS meta FROM snaps s",
     "change_counts": f"{_LOG} SELECT snapshot_id::BIGINT AS snapshot_id, change_type, count(*) AS n FROM log GROUP BY 1, 2",
     "reject_codes": "SELECT column0::BIGINT AS ordinal, column1::BIGINT AS row_id, column2 AS change_type, column3 AS code FROM (VALUES (0, 0, 1, 'invalid_row_id'), (1, 1, 1, 'already_exists'), (2, 2, 2, 'not_found'), (3, 2, 1, 'ok'), (4, 2, 1, 'duplicate'), (5, 5, 3, 'ok'), (6, 5, 1, 'duplicate'), (7, 4, 3, 'not_found'), (8, 1000000000, 1, 'ok')) t(column0, column1, column2, column3)",
     "checkpoint_equals_scan": f"{_LOG} SELECT count(*) AS differences FROM ((SELECT row_id, {_OWN} FROM v3 EXCEPT SELECT row_id, {_OWN} FROM vis WHERE snapshot_id = 4) UNION ALL (SELECT row_id, {_OWN} FROM vis WHERE snapshot_id = 4 EXCEPT SELECT row_id, {_OWN} FROM v3))",
     "verify_report": f"{_LOG} SELECT s.snapshot_id::BIGINT AS snapshot_id, (SELECT count(*) FROM log l WHERE l.snapshot_id = s.snapshot_id) AS records, (SELECT count(*) - count(DISTINCT row_id) FROM log l WHERE l.snapshot_id = s.snapshot_id) AS repeated, CASE WHEN s.parent = 0 THEN 0 ELSE (SELECT count(*) FROM log l LEFT JOIN vis v ON v.row_id = l.row_id AND v.snapshot_id = s.parent WHERE l.snapshot_id = s.snapshot_id AND (l.change_type = 1) = (v.row_id IS NOT NULL)) END::BIGINT AS broken FROM snaps s",
-    "stats": f"{_LOG} SELECT 6::BIGINT AS snapshots, 2::BIGINT AS tables, (SELECT count(*) FROM vis WHERE snapshot_id = 6) AS visible_rows",
+    "stats": f"{_LOG} SELECT (SELECT count(*) FROM snaps) AS snapshots, 2::BIGINT AS tables, (SELECT sum(ceil(n / {BLOCK_ROWS}.0))::BIGINT FROM made) AS blocks, (SELECT count(*) FROM log) AS changes, (SELECT count(*) FROM vis WHERE snapshot_id = 6) AS visible_rows",
     "agg_by_status_as_of": f"{_LOG} SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS revenue FROM v3 GROUP BY 1",
     "join_customer_as_of": f"{_LOG} SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM v3 JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "topk_as_of": f"{_LOG} SELECT row_id, o_totalprice FROM v3 ORDER BY o_totalprice DESC, row_id LIMIT 10",

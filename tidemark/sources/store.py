@@ -23,6 +23,8 @@ from .fs import Files, WriterLock
 #: No feature is required of readers yet: a store that names one can't be read here.
 FORMAT, FEATURES = 1, frozenset()
 NO_PARENT, LATEST, MAX_DEPTH = 0, -1, 4096
+#: A scan sends the ids of so many changes to every task at most (8 MB of them).
+BROADCAST_CHANGES = 1 << 20
 #: Columns of tables can't have this name (types.RESERVED).
 BATCH = "__batch"
 #: Hooks by point's name, for tests of crashes: before_stage, after_stage, after_data, after_directory, before_commit, after_commit.
@@ -217,12 +219,18 @@ class Store:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     # reads
-    def scan(self, snapshot: int, address: str, start: int = 0, end: int = 0, columns: list[str] | None = None, ordered: bool = False) -> DataFrame:
+    def scan(self, snapshot: int, address: str, start: int = 0, end: int = 0, columns: list[str] | None = None, ordered: bool = False, strategy: str = "auto") -> DataFrame:
+        """The rows visible at a snapshot. strategy: window or max_by (see resolve.visible), or auto: where the directory counts
+        at most BROADCAST_CHANGES changes above the FULL layer, that layer isn't shuffled (see resolve.overlaid)."""
         view = self._view()
         table, chain = view.table(snapshot, address), view.chain(snapshot)
         own = columns if columns is not None else [c["name"] for c in table["columns"]]
         touched = [s for s in chain if str(table["id"]) in view.snapshots[s].data] or chain[:1]
-        out = R.visible(self._log(view, chain, table), touched, start, end, own)
+        above = sum(b["items"] for s in touched[:-1] for b in view.snapshots[s].data[str(table["id"])]["blocks"])
+        if strategy == "auto" and len(touched) > 1 and above <= BROADCAST_CHANGES:
+            out = R.overlaid(self._log(view, touched[-1:], table), self._log(view, touched[:-1], table), True, start, end, own)
+        else:
+            out = R.visible(self._log(view, touched, table), touched, start, end, own, "window" if strategy == "auto" else strategy)
         return out.orderBy("row_id") if ordered else out
 
     def get(self, snapshot: int, address: str, row_id: int):
