@@ -17,7 +17,7 @@ def test_the_pair_collides():
     data = np.frombuffer((TM + CO).encode(), np.uint8)
     a, b = PrefixHash(data).of(np.array([0, 1024]), np.array([1024, 1024]))
     assert a == b
-    one, of = distinct_slices(np.tile(data, 2), np.array([0, 1024, 2048, 3072]), np.full(4, 1024))
+    one, of, _ = distinct_slices(np.tile(data, 2), np.array([0, 1024, 2048, 3072]), np.full(4, 1024))
     assert of.tolist() == [of[0], of[1], of[0], of[1]] and of[0] != of[1] and len(one) == 2
 
 

@@ -61,11 +61,11 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lens: np.ndarray,
     return out
 
 
-def distinct_slices(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one slice's number for each distinct data[first:first+n], for each slice the place of its own among these). Slices meet by
+def distinct_slices(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one slice's number for each distinct data[first:first+n], for each slice the place of its own among these, each one's hash). Slices meet by
     hashes; each is compared with its representative byte by byte, and where hashes collided the bytes decide."""
     h = mixed(PrefixHash(data).of(first, n) ^ n.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-    _, one, of = np.unique(h, return_index=True, return_inverse=True)
+    uniq, one, of = np.unique(h, return_index=True, return_inverse=True)
     head = one[of]
     equal = n == n[head]
     some = np.flatnonzero(equal & (head != np.arange(len(n))))
@@ -79,7 +79,8 @@ def distinct_slices(data: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple
                 extra.append(i)
             of[i] = known[raw]
         one = np.concatenate([one, np.array(extra, one.dtype)])
-    return one, of
+        uniq = h[one]
+    return one, of, uniq
 
 
 class SuffixSorter:

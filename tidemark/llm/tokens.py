@@ -11,8 +11,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .common import U64, mixed, offsets_and_bytes, ragged
-from .suffixes import PrefixHash, distinct_slices, same_bytes
+from .common import U64, offsets_and_bytes, ragged
+from .suffixes import distinct_slices, same_bytes
 
 #: Between two non-space characters, a token begins at a single space and never crosses it. Texts where that may not hold go to the library whole.
 _WHOLE = re.compile(r" (?=\s|$)|<\|")
@@ -82,9 +82,8 @@ class ByteLevelEncoder:
         end = np.r_[spaces[1:], len(data)]
         end = np.minimum(end, offs[doc + 1])
         n = end - spaces
-        one, of = distinct_slices(data, spaces, n)
+        one, of, uniq = distinct_slices(data, spaces, n)
         first, size = spaces[one], n[one]
-        uniq = mixed(PrefixHash(data).of(first, size) ^ size.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
         slot = self._slots(uniq, data, first, size)
         new = np.flatnonzero(slot < 0)
         if len(self.known) and len(self.known) + len(new) > KNOWN_PIECES:
