@@ -211,6 +211,19 @@ def test_lines_by_length(spark):
         assert list(got[i].removed) == [p for p, x in enumerate(lines) if x and (first[x] != (i, p) or x in late)]
 
 
+def test_one_earlier_line_is_enough(spark, monkeypatch):
+    out, first, close = grown_lines(random.Random(13))
+    monkeypatch.setattr(line_dedup, "TIMES_SENT", 1)  # several rounds
+    late = {max(pair, key=first.get) for pair in close}
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_decisions(df, every=False).collect()}
+    for i, t in out:
+        assert got[i].n_links is None
+        assert list(got[i].removed) == [p for p, x in enumerate(t.split("\n")) if x and (first[x] != (i, p) or x in late)]
+    _, links = line_dedup.line_links(df, every=False)
+    assert links.count() < len(close) and links.select("late").distinct().count() == len(late)
+
+
 def test_line_classes(spark, tmp_path):
     out, _, close = grown_lines(random.Random(12))
     out += [(None, out[0][1]), (50, "short"), (51, "short"), (52, "")]
