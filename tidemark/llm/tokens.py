@@ -91,7 +91,7 @@ class ByteLevelEncoder:
             new = np.arange(len(uniq))
         if len(new):
             new = new[np.unique(uniq[new], return_index=True)[1]]  # of pieces whose hashes collide the first is kept
-            new = new[~np.isin(uniq[new], self.known)]
+            new = new[~self._has(uniq[new])]
             self._learn(uniq[new], data, first[new], size[new])
             slot = self._slots(uniq, data, first, size)
         apart = np.flatnonzero(slot < 0)  # their hashes are another piece's: encoded each time
@@ -117,6 +117,12 @@ class ByteLevelEncoder:
         n = lens[codes]
         return flat[ragged(starts[codes], n)], np.add.reduceat(n, begin)
 
+    def _has(self, hashes: np.ndarray) -> np.ndarray:
+        """Which hashes a known piece has. Only these are looked up: a set of all known ones costs more than encoding does."""
+        if not len(self.known):
+            return np.zeros(len(hashes), bool)
+        return self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes
+
     def _slots(self, uniq: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Where each distinct piece is known, or -1."""
         slot = np.full(len(uniq), -1)
