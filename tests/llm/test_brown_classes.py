@@ -25,3 +25,23 @@ def test_rare_words_are_classed_by_their_neighbours(spark, monkeypatch):
     own_first, other_first, other_last, own_last = (got[i] for i in held[:4])
     assert own_first > other_first + 0.5 and own_last > other_last + 0.5
     assert own_first == pytest.approx(own_last, abs=0.2)
+
+
+def test_exchange_ends_where_no_move_is_better():
+    """Gains are the likelihood's own differences: classes that other gains end in, or go round in, can be bettered."""
+
+    def likelihood(counts, cls):
+        member = np.eye(cls.max() + 1)[cls]
+        return brown._likelihood(member.T @ counts @ member)
+
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        counts = (rng.integers(0, 12, (12, 12)) * rng.integers(0, 2, (12, 12))).astype(float)
+        cls = brown.exchange(counts, 4)
+        assert cls[0] == 0 and 0 not in cls[1:]
+        here = likelihood(counts, cls)
+        for u in range(1, len(cls)):
+            for c in range(1, 4):
+                other = cls.copy()
+                other[u] = c
+                assert likelihood(counts, other) <= here + 1e-6, (seed, u, c)

@@ -169,8 +169,9 @@ def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     def phi(x):
         return x * np.log(np.maximum(x, 1e-300))
 
-    moved = 1
-    while moved:
+    moved, before, likelihood = 1, -np.inf, _likelihood(grid)
+    # a sweep that rounding alone calls a rise is the last, so that no classes come twice
+    while moved and likelihood > before:
         moved = 0
         for u in by_size.tolist():
             old = int(cls[u])
@@ -190,7 +191,8 @@ def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             gain = rows.sum(axis=1) - rows[diag, diag] + cols.sum(axis=0) - cols[diag, diag]
             here = grid[diag, diag]
             gain += phi(here + out + into + own) - phi(here)
-            left, right = grid.sum(axis=1), grid.sum(axis=0)
+            # the unit's neighbours follow or precede it in any class
+            left, right = grid.sum(axis=1) + into, grid.sum(axis=0) + out
             gain -= phi(left + out.sum() + own) - phi(left) + phi(right + into.sum() + own) - phi(right)
             gain[0] = -np.inf
             new = int(np.argmax(gain))
@@ -201,6 +203,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
             grid[new, new] += own
             cls[u] = new
             moved += new != old
+        before, likelihood = likelihood, _likelihood(grid)
     return cls
 
 
