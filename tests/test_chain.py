@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from tidemark.operators import resolve
 from tidemark.plans import chain
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +36,20 @@ def test_stats_counts_blocks_without_rows(spark, duck, tmp_path):
     for name in ("stats", "blocks_directory", "list_snapshots"):
         got, want = chain.QUERIES[name](spark, str(tmp_path)), c.sql(chain.ORACLES[name])
         assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["logical_row_count", "verify_report"])
+def test_counts_deal_rows_before_they_aggregate(spark, duck, name, monkeypatch):
+    """No task keeps a table of the rows of its whole input split, once for each snapshot: a task has TASK_ROWS records."""
+    monkeypatch.setattr(resolve, "TASK_ROWS", 500)
+    got = chain.QUERIES[name](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("REPARTITION_BY_NUM") :]
+    assert "hashpartitioning(row_id" in plan and "Aggregate" not in below
+    assert rows(got.columns, got.collect()) == rows(got.columns, duck.sql(chain.ORACLES[name]).project(", ".join(got.columns)).fetchall())
+
+
+def test_histories_of_repeated_records_and_branches(spark):
+    log = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 2, 3), (3, 3, 1), (3, 2, 1)], "row_id long, snapshot_id long, change_type int")
+    got = {(tuple(r.history), r.n) for r in resolve.histories(log.unionByName(log.withColumn("row_id", log.row_id + 3)), 12).collect()}
+    assert got == {((5, 5), 2), ((5, 11), 2), ((9, 13), 2)}

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..errors import InvalidArgumentError
 
 INSERT, UPDATE, DELETE = 1, 2, 3
+#: Records of a log that one task has at once where they are dealt by rows.
+TASK_ROWS = 1 << 18
 BOOKKEEPING = ("snapshot_id", "change_type", "schema_version", "block_id", "item_ordinal")
 
 
@@ -60,6 +62,26 @@ def live_ids(log: DataFrame, chain: list[int]) -> DataFrame:
     return log.where(F.col("snapshot_id").isin(*chain)).groupBy("row_id").agg(packed).where(F.col("last") % 4 != DELETE).select("row_id")
 
 
+def dealt(log: DataFrame, records: int) -> DataFrame:
+    """log, each row's records in one task, in so many tasks that a task's share doesn't grow with the log (of `records` in all,
+    which the caller knows from the block directory). Aggregates by row then need no tables of a whole input split's rows."""
+    return log.repartition(max(1, -(-records // TASK_ROWS)), "row_id")
+
+
+def histories(log: DataFrame, records: int) -> DataFrame:
+    """(history, n): n rows have the records history, an ascending array of snapshot_id * 4 + change_type. Rows have few different
+    histories, and what a snapshot shows of a row depends on nothing else (see shown)."""
+    packed = (F.col("snapshot_id") * 4 + F.col("change_type")).alias("packed")
+    each = dealt(log.select("row_id", packed), records).groupBy("row_id").agg(F.sort_array(F.collect_list("packed")).alias("history"))
+    return each.groupBy("history").agg(F.count("*").alias("n"))
+
+
+def shown(history: str, chain: str) -> Column:
+    """Whether a snapshot, whose chain is a column of snapshot ids, shows a row with a history."""
+    last = F.array_max(F.filter(history, lambda x: F.array_contains(chain, F.shiftright(x, 2))))
+    return F.coalesce(last % 4 != DELETE, F.lit(False))
+
+
 def batch(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """ids (ordinal, row_id; repeated ids stay): each with its row, and found. A list of ids is small beside the table, but its
     size isn't known here, so the optimizer chooses the join."""

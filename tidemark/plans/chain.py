@@ -144,17 +144,18 @@ def q_scan_blocks(spark, d):
     return store(spark, d).scan_blocks(2, "orders", 0, 2).select("block_id", "row_id", "change_type", "o_totalprice")
 
 
-def _ancestors(spark, d, of=None) -> DataFrame:
-    """(target, snapshot_id): each snapshot with those of its chain, a row for each layer of each chain."""
+def _histories(spark, d) -> DataFrame:
+    """One scan of the log: how many rows have which records."""
     s = store(spark, d)
-    rows = [(t, a) for t in sorted(s.catalog.snapshots) for a in s.catalog.chain(t) if of is None or t in of]
-    return spark.createDataFrame(rows, "target long, snapshot_id long")
+    view = s.catalog
+    return R.histories(log(spark, d), s._records(view, view.snapshots, view.table(1, "orders")))
 
 
 def q_count(spark, d):
     """One scan of the log for all snapshots."""
-    last = log(spark, d).select("row_id", "change_type", "snapshot_id").join(F.broadcast(_ancestors(spark, d)), "snapshot_id").groupBy("target", "row_id").agg(F.max(F.col("snapshot_id") * 4 + F.col("change_type")).alias("last"))
-    return last.where(F.col("last") % 4 != R.DELETE).groupBy(F.col("target").alias("snapshot_id")).agg(F.count("*").alias("n"))
+    s = store(spark, d)
+    chains = spark.createDataFrame([(t, s.catalog.chain(t)) for t in sorted(s.catalog.snapshots)], "snapshot_id long, chain array<long>")
+    return _histories(spark, d).crossJoin(F.broadcast(chains)).where(R.shown("history", "chain")).groupBy("snapshot_id").agg(F.sum("n").alias("n"))
 
 
 def q_chain(spark, d):
@@ -198,18 +199,15 @@ def q_checkpoint(spark, d):
 
 def q_verify(spark, d):
     """After a full verification of the store: per snapshot records, repeated rows, and rows that break a rule against their
-    parent's state. One scan; the parents' states come from the log by one aggregate."""
+    parent's state. One scan; the parents' states come from rows' histories."""
     s = store(spark, d)
     s.verify(full=True)
-    parents = [(x.id, x.parent) for x in s.list_snapshots()]
-    own = log(spark, d).select("snapshot_id", "row_id", "change_type")
-    per = own.groupBy("snapshot_id", "row_id").agg(F.count("*").alias("n"), F.max("change_type").alias("change"))
-    states = own.join(F.broadcast(_ancestors(spark, d, {p for _, p in parents if p})), "snapshot_id").groupBy("target", "row_id").agg(F.max(F.col("snapshot_id") * 4 + F.col("change_type")).alias("last"))
-    live = states.where(F.col("last") % 4 != R.DELETE).select(F.col("target").alias("parent"), "row_id", F.lit(True).alias("live"))
-    ids = F.broadcast(spark.createDataFrame(parents, "snapshot_id long, parent long"))
-    checked = per.join(ids, "snapshot_id").join(live, ["parent", "row_id"], "left").withColumn("live", F.coalesce("live", F.lit(False)))
-    broken = (F.col("parent") != 0) & ((F.col("change") == R.INSERT) == F.col("live"))
-    facts = checked.groupBy("snapshot_id").agg(F.sum("n").alias("records"), F.sum(F.col("n") - 1).alias("repeated"), F.sum(broken.cast("long")).alias("broken"))
+    parents = [(x.id, x.parent, s.catalog.chain(x.parent) if x.parent else []) for x in s.list_snapshots()]
+    ids = F.broadcast(spark.createDataFrame(parents, "snapshot_id long, parent long, above array<long>"))
+    own = F.filter("history", lambda x: F.shiftright(x, 2) == F.col("snapshot_id"))
+    per = _histories(spark, d).crossJoin(ids).withColumn("own", own).where(F.size("own") > 0)
+    broken = (F.col("parent") != 0) & ((F.array_max("own") % 4 == R.INSERT) == R.shown("history", "above"))
+    facts = per.groupBy("snapshot_id").agg(F.sum(F.col("n") * F.size("own")).alias("records"), F.sum(F.col("n") * (F.size("own") - 1)).alias("repeated"), F.sum(F.when(broken, F.col("n")).otherwise(0)).alias("broken"))
     none = F.lit(0).cast("long")
     return ids.select("snapshot_id").join(facts, "snapshot_id", "left").select("snapshot_id", *[F.coalesce(c, none).alias(c) for c in ("records", "repeated", "broken")])
 
