@@ -53,3 +53,24 @@ def test_histories_of_repeated_records_and_branches(spark):
     log = spark.createDataFrame([(1, 1, 1), (1, 1, 1), (2, 1, 1), (2, 2, 3), (3, 3, 1), (3, 2, 1)], "row_id long, snapshot_id long, change_type int")
     got = {(tuple(r.history), r.n) for r in resolve.histories(log.unionByName(log.withColumn("row_id", log.row_id + 3)), 12).collect()}
     assert got == {((5, 5), 2), ((5, 11), 2), ((9, 13), 2)}
+
+
+@pytest.mark.parametrize("name", ["snapshot_diff", "checkpoint_equals_scan"])
+def test_diff_deals_each_record_once(spark, name, monkeypatch):
+    """One shuffle of the layers and no join, whichever layers two snapshots share."""
+    monkeypatch.setattr(resolve, "TASK_ROWS", 500)
+    plan = chain.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning(row_id") == 1 and plan.count("Scan parquet") == 1
+
+
+def test_compared_agrees_with_diff(spark):
+    """Every pair of chains; rows deleted, made again, changed to null and back, in one layer only, or in none."""
+    log = spark.createDataFrame(
+        [(1, 1, 1, "x"), (2, 1, 1, "x"), (2, 2, 3, None), (3, 1, 1, None), (3, 2, 2, "y"), (3, 3, 2, None), (4, 1, 1, "x"), (4, 2, 3, None), (4, 3, 1, "x"), (5, 2, 1, "x"), (5, 4, 1, "z"), (6, 4, 1, None), (7, 4, 3, None), (8, 3, 1, "x")],
+        "row_id long, snapshot_id long, change_type int, v string",
+    )
+    chains = [[1], [2, 1], [3, 2, 1], [4, 1], [4]]
+    for a in chains:
+        for b in chains:
+            want = resolve.diff(resolve.visible(log, a), resolve.visible(log, b))
+            assert sorted(map(tuple, resolve.compared(log, a, b, ["v"], 14).collect())) == sorted(map(tuple, want.collect()))

@@ -133,6 +133,20 @@ def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("change", change).where("change IS NOT NULL").select("row_id", "change")
 
 
+def compared(log: DataFrame, before: list[int], after: list[int], columns: list[str], records: int) -> DataFrame:
+    """diff() of the states that two chains make visible, from the layers of both: each record is dealt once, also where the
+    chains share its layer, and sorted by row, so a task holds one row's records beside its sort."""
+
+    def nearest(chain: list[int]) -> Column:
+        return F.max_by(F.struct("change_type", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own")), F.when(F.col("snapshot_id").isin(*chain), F.col("snapshot_id")))
+
+    layers = log.where(F.col("snapshot_id").isin(*{*before, *after})).select("row_id", "snapshot_id", "change_type", *[F.col(f"`{c}`") for c in columns])
+    both = dealt(layers, records).groupBy("row_id").agg(nearest(before).alias("a"), nearest(after).alias("b"))
+    there = lambda x: F.coalesce(F.col(f"{x}.change_type") != DELETE, F.lit(False))
+    change = F.when(there("a") & ~there("b"), "delete").when(~there("a") & there("b"), "insert").when(there("a") & there("b") & ~F.col("a.own").eqNullSafe(F.col("b.own")), "update")
+    return both.withColumn("change", change).where("change IS NOT NULL").select("row_id", "change")
+
+
 def reject_codes(changes: DataFrame, live: DataFrame, full: bool = False, strict: bool = True) -> DataFrame:
     """For each change (ordinal, row_id, change_type) the code of the first rule that it breaks: ok, invalid_row_id, duplicate
     (an accepted or refused-by-nothing earlier record has the row), full_only_insert, already_exists, not_found."""

@@ -193,8 +193,7 @@ def q_rejects(spark, d):
 
 
 def q_checkpoint(spark, d):
-    changed = R.diff(scan(spark, d, 3), scan(spark, d, 4))
-    return changed.agg(F.count("*").alias("differences"))
+    return store(spark, d).diff(3, 4, "orders").agg(F.count("*").alias("differences"))
 
 
 def q_verify(spark, d):
@@ -238,7 +237,7 @@ def q_window(spark, d):
 
 
 def q_diff(spark, d):
-    return R.diff(scan(spark, d, 2), scan(spark, d, 5)).groupBy("change").agg(F.count("*").alias("n"))
+    return store(spark, d).diff(2, 5, "orders").groupBy("change").agg(F.count("*").alias("n"))
 
 
 def q_key_range(spark, d):
