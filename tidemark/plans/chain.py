@@ -125,8 +125,14 @@ def _asked(spark):
     return spark.createDataFrame([(i, r) for i, r in enumerate([7, 3, 7, 2, 1, 12, 4, 900, 7])], "ordinal long, row_id long")
 
 
+def _live(spark, d, snapshot: int) -> DataFrame:
+    s, c = store(spark, d), chain(spark, d, snapshot)
+    rows = log(spark, d, c).select("row_id", "snapshot_id", "change_type")
+    return R.live_ids(R.dealt(rows, s._records(s.catalog, c, s.catalog.table(1, "orders"))), c)
+
+
 def q_exists(spark, d):
-    live = R.live_ids(log(spark, d, c := chain(spark, d, 3)), c).withColumn("live", F.lit(True))
+    live = _live(spark, d, 3).withColumn("live", F.lit(True))
     return _asked(spark).join(live, "row_id", "left").select("ordinal", "row_id", F.coalesce("live", F.lit(False)).alias("found"))
 
 
@@ -189,7 +195,7 @@ def q_changes(spark, d):
 def q_rejects(spark, d):
     """A crafted batch on snapshot 3: every rule is broken once."""
     rows = [(0, 0, 1), (1, 1, 1), (2, 2, 2), (3, 2, 1), (4, 2, 1), (5, 5, 3), (6, 5, 1), (7, 4, 3), (8, 10**9, 1)]
-    return R.reject_codes(spark.createDataFrame(rows, "ordinal long, row_id long, change_type int"), R.live_ids(log(spark, d, c := chain(spark, d, 3)), c))
+    return R.reject_codes(spark.createDataFrame(rows, "ordinal long, row_id long, change_type int"), _live(spark, d, 3))
 
 
 def q_checkpoint(spark, d):
